@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup
+from . import exact_dedup, lang_id, near_dedup
 from .runtime import table
 
 
@@ -18,6 +18,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lang_id.identify(docs, lang_id.train(lang_id.training_sample(docs)))
+
+
 SQL = {
     "op2_exact_dedup": """
         SELECT doc_id, keep_doc_id, copies FROM (
