@@ -7,7 +7,8 @@ differ in three or four bits do so too. Segments are joined in six pairs: a key
 pair number and one index of either segment (24 bits), so a document has 36 keys a
 pair at most. By the pigeonhole principle 17 differing bits cannot put three errors
 into one segment of every pair, so documents that close always meet. ``MAX_BITS``
-admits more, since a copy with 4 % of its words changed differs in some 25 bits: there
+admits more, since a copy with 4 % of its words changed differs in some 25 bits, and one
+with a line of boilerplate besides in some 45: there
 the search is approximate, with a recall over 0.9 against brute force (see tests).
 Documents that meet are verified by the distance of their whole fingerprints.
 
@@ -40,7 +41,7 @@ from .runtime import BLOCKS, block_batch, blocks_of, cut, exchange, pack, partit
 PAIRS = 6
 SEGMENTS = 2 * PAIRS
 BITS = SEGMENTS * golay.BITS
-MAX_BITS = 41
+MAX_BITS = 46
 _BYTES = -(-BITS // 8)
 _WORDS = -(-BITS // 64)
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1)
