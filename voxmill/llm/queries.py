@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lang_id, near_dedup
+from . import decontaminate, exact_dedup, lang_id, near_dedup, packing
 from .runtime import table
 
 
@@ -18,12 +18,34 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lang_id.identify(docs, lang_id.train(lang_id.training_sample(docs)))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: A word as textvec has it, for lower-cased text.
+WORD = r"[0-9a-z\x{80}-\x{9F}\x{AA}\x{B5}\x{BA}\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{A000}-\x{10FFFF}]+|[\x{3040}-\x{9FFF}]"
+
 SQL = {
+    "op9_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM benchmark),
+        dg AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d)),
+        ig AS (SELECT item_id, p, n, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT item_id, w, len(w) AS n, unnest(range(1, len(w) - 3)) AS p FROM i)),
+        hit AS (SELECT doc_id, item_id, n, dg.p AS dp, ig.p AS ip FROM dg JOIN ig USING (g)),
+        isle AS (SELECT *, dp - row_number() OVER (PARTITION BY doc_id, item_id, ip - dp ORDER BY dp) AS k FROM hit),
+        run AS (SELECT doc_id, item_id, min(n) AS n, min(dp) AS dp, max(dp) - min(dp) + 5 AS size, min(ip) AS ip FROM isle GROUP BY doc_id, item_id, ip - dp, k),
+        cover AS (SELECT doc_id, item_id, count(DISTINCT q) AS c FROM (SELECT doc_id, item_id, unnest(range(ip, ip + size)) AS q FROM run) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, dp - 1 AS start_word, dp - 1 + size AS end_word
+        FROM run JOIN cover USING (doc_id, item_id) WHERE size >= 8 OR c >= 0.5 * n""",
     "op2_exact_dedup": """
         SELECT doc_id, keep_doc_id, copies FROM (
             SELECT doc_id,
