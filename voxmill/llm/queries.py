@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, lang_id, near_dedup, packing
+from . import decontaminate, exact_dedup, lang_id, near_dedup, packing, substring_dedup, suffix_dedup
 from .runtime import table
 
 
@@ -22,11 +22,19 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_suffixes(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lang_id.identify(docs, lang_id.train(lang_id.training_sample(docs)))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,7 +42,26 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 #: A word as textvec has it, for lower-cased text.
 WORD = r"[0-9a-z\x{80}-\x{9F}\x{AA}\x{B5}\x{BA}\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{A000}-\x{10FFFF}]+|[\x{3040}-\x{9FFF}]"
 
+#: Every window of 50 words at two places or more, with its first place and the one before.
+WINDOWS = f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents WHERE doc_id IS NOT NULL),
+        win AS (SELECT DISTINCT doc_id, p - 1 AS p, md5(array_to_string(w[p:p + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d)),
+        rep AS (SELECT doc_id, p, first_value(doc_id) OVER o AS fd, first_value(p) OVER o AS fp, lag(doc_id) OVER o AS bd, lag(p) OVER o AS bp, count(*) OVER (PARTITION BY g) AS copies
+                FROM win WINDOW o AS (PARTITION BY g ORDER BY doc_id, p)),"""
+
 SQL = {
+    "op5_suffix_array_dedup": f"""{WINDOWS}
+        later AS (SELECT *, bp - p AS shift FROM rep WHERE bd IS NOT NULL),
+        fresh AS (SELECT *, CASE WHEN p <= lag(p) OVER o + 50 THEN 0 ELSE 1 END AS f FROM later WINDOW o AS (PARTITION BY doc_id, bd, shift ORDER BY p)),
+        isle AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, bd, shift ORDER BY p) AS k FROM fresh)
+        SELECT doc_id, min(p) AS start_word, max(p) + 50 AS end_word, bd AS source_doc_id, min(p) + shift AS source_start_word
+        FROM isle GROUP BY doc_id, bd, shift, k""",
+    "op8_substring_dedup": f"""{WINDOWS}
+        twice AS (SELECT *, doc_id = fd AND p = fp AS kept FROM rep WHERE copies > 1),
+        fresh AS (SELECT *, CASE WHEN p <= lag(p) OVER o + 50 THEN 0 ELSE 1 END AS f FROM twice WINDOW o AS (PARTITION BY doc_id, kept ORDER BY p)),
+        isle AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, kept ORDER BY p) AS k FROM fresh)
+        SELECT doc_id, min(p) AS start_word, max(p) + 50 AS end_word, max(copies) AS copies, min(fd) AS first_doc_id, kept
+        FROM isle GROUP BY doc_id, kept, k""",
     "op9_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents),
         i AS (SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM benchmark),
