@@ -72,12 +72,21 @@ def bucket_pointers(words: np.ndarray, room: np.ndarray, depth: int) -> np.ndarr
     return pointers
 
 
+def word_numbers(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Words numbered from 0 by their 128-bit hashes; one half decides unless it collides."""
+    _, first, words = np.unique(low, return_index=True, return_inverse=True)
+    if (high[first][words] == high).all():
+        return words
+    pairs = np.stack([low, high], axis=1).view([("low", "u8"), ("high", "u8")]).ravel()
+    return np.unique(pairs, return_inverse=True)[1]
+
+
 def _matches(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket(batches)
         if bucket.empty:
             return
-        _, words = np.unique(np.stack([bucket.low, bucket.high], axis=1).view([("a", "u8"), ("b", "u8")]).ravel(), return_inverse=True)
+        words = word_numbers(bucket.low, bucket.high)
         room = np.repeat(bucket.at + bucket.count, bucket.count) - np.arange(len(words))
         place, doc, pos = bucket.windows(depth)
         doc, pos, first, _ = groups(bucket_pointers(words, room, depth)[place], doc, pos)
