@@ -141,16 +141,16 @@ def chunk_texts(c: Column | str, **options: Any) -> Column:
     return run(col(c))
 
 
-def chunk_stream(stream: DataFrame, session: str, order: str, text: str, final: str, idle: str = "10 minutes", **options: Any) -> DataFrame:
+def chunk_stream(stream: DataFrame, session: str, order: str, text: str, final: str, idle: str | None = None, **options: Any) -> DataFrame:
     """(session, chunk) of a stream of text pieces; ``final`` marks a session's last piece.
 
-    State is the buffer and whether a chunk has left. A session that is idle for the timeout
-    is flushed and forgotten.
+    State is the buffer and whether a chunk has left. With ``idle``, such as "10 minutes", a
+    session without input for that long is flushed and forgotten.
     """
     kind = stream.schema[session].dataType
     output = T.StructType().add(session, kind).add("chunk", T.StringType())
     state = T.StructType().add("buffer", T.StringType()).add("started", T.BooleanType())
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         buffer, started = held.get if held.exists else ("", False)
@@ -167,7 +167,8 @@ def chunk_stream(stream: DataFrame, session: str, order: str, text: str, final:
                     held.remove()
             else:
                 held.update((chunker.buffer, chunker.started))
-                held.setTimeoutDuration(wait)
+                if wait:
+                    held.setTimeoutDuration(wait)
         yield pd.DataFrame({session: [key[0]] * len(out), "chunk": out})
 
-    return stream.groupBy(session).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(session).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
