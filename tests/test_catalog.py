@@ -20,7 +20,9 @@ def duck(sf):
 def _value(v):
     if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
         return None
-    return repr(float(v)) if isinstance(v, float) else str(v)
+    if isinstance(v, float):
+        return str(int(v)) if v.is_integer() else repr(float(v))
+    return str(v)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
