@@ -48,6 +48,16 @@ def test_word_counts_do_not_depend_on_neighbours(texts):
     assert [b - a for a, b in zip(first, first[1:])] == alone
 
 
+def test_long_texts_hash_like_short_ones():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 12))) for _ in range(300_000)]
+    long, first = tv.words(pa.array([" ".join(words)]))
+    short = tv.words(pa.array(words))[0]
+    assert first[-1] == len(words) and (long == short).all()
+    assert (tv.window_hash(long, 50)[:100] == tv.window_hash(long[:149], 50)).all()
+    assert (tv.window_hash(long, 50)[-100:] == tv.window_hash(long[-149:], 50)).all()
+
+
 # -- language -------------------------------------------------------------------------------
 
 

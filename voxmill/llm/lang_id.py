@@ -129,6 +129,16 @@ def _mix(odds: np.ndarray, base: np.ndarray, first: np.ndarray, allowed: np.ndar
     return share, fit
 
 
+def word_logs(model: Model, slots: np.ndarray, begin: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Log-likelihood of each word by component; a block of words at a time, for long texts."""
+    out = np.empty((len(begin), model.logs.shape[1]), np.float32)
+    for s in range(0, len(begin), block):
+        e = min(s + block, len(begin))
+        low, high = begin[s], begin[e] if e < len(begin) else len(slots)
+        out[s:e] = np.add.reduceat(model.logs[slots[low:high]], begin[s:e] - low, axis=0)
+    return out
+
+
 def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(n, K) proportions over the chosen sets, and the number of words."""
     k = len(model.names)
@@ -139,7 +149,7 @@ def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         counts[at : at + n] = np.diff(first)
         if not len(begin):
             continue
-        logs = np.add.reduceat(model.logs[slots], begin, axis=0)
+        logs = word_logs(model, slots, begin)
         base = logs.max(axis=1)
         odds = np.exp(logs - base[:, None])
         base = base.astype(np.float64)
