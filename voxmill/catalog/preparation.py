@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scores
 from ..functions.text import fingerprint
 from ..operators import aggregates, filters, projections, sampling, windows
-from ..plans import prepare
+from ..plans import pipeline, prepare
 from ..sources import readers
+from ..streaming import incremental
 from .registry import Tables, query
 
 # Documents as utterances: ten rows a group, every ninth without a suffix.
@@ -468,3 +473,68 @@ def src_19_pair_by_stem(t: Tables) -> DataFrame:
 @query("SELECT doc_id, md5('[' || doc_id || ',' || n_chars || ']') AS print FROM documents")
 def strf_25_fingerprint(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", fingerprint(F.array("doc_id", "n_chars")).alias("print"))
+
+
+@query(
+    f"""WITH {BASE_SQL}, o AS (SELECT coalesce(group_id, '__NO_GROUP__') AS group_id, doc_id, row_number() OVER (PARTITION BY group_id ORDER BY suffix_idx, utt, doc_id) - 1 AS new_rank, count(*) OVER (PARTITION BY group_id) AS group_size FROM named WHERE doc_id % 4 <> 1)
+    SELECT group_id, group_size, new_rank, doc_id FROM o"""
+)
+def agg_04_regroup_flat_rows(t: Tables) -> DataFrame:
+    rows = named(t).filter("doc_id % 4 <> 1").withColumn("group_rank", F.lit(0))
+    groups = prepare.regrouped(rows, "utt", "doc_id", ["doc_id"])
+    return groups.select("group_id", "group_size", F.posexplode("items").alias("new_rank", "i")).select("group_id", "group_size", F.col("new_rank").cast("long"), "i.doc_id")
+
+
+@query("SELECT c_nationkey AS key, c_name AS value FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS r FROM customer) WHERE r = 1")
+def src_02_merge_later_wins(t: Tables) -> DataFrame:
+    """Dictionaries of a sequence of files merged: the last writer of a key wins."""
+    pairs = t.customer.select(F.col("c_custkey").alias("seq"), F.col("c_nationkey").alias("key"), F.col("c_name").alias("value"))
+    return windows.latest(pairs, ["key"], [F.col("seq")]).select("key", "value")
+
+
+@query("SELECT count(*) AS rows, 1 AS files FROM orders")
+def src_05_src_07_scan_with_file(t: Tables) -> DataFrame:
+    """A parquet scan with the file of each row as metadata."""
+    rows = t.orders.select("o_orderkey", F.col("_metadata.file_path").alias("file"))
+    return rows.agg(F.count("*").alias("rows"), F.countDistinct("file").cast("int").alias("files"))
+
+
+@query("SELECT doc_id, lang, n_chars // 10 AS tens FROM (SELECT *, row_number() OVER (PARTITION BY lang, n_chars ORDER BY doc_id) AS r FROM documents WHERE n_chars > 500) WHERE r = 1")
+def src_08_udf_01_udf_02_pipeline_from_spec(t: Tables) -> DataFrame:
+    """Stages named in a spec, folded over the source, with an option overridden."""
+    run = pipeline.build(
+        [{"filter": {"condition": "n_chars > 0"}}, {"first_occurrence": {"keys": ["lang", "n_chars"], "order": ["doc_id"]}}, {"select": {"columns": ["doc_id", "lang", "cast(floor(n_chars / 10) as bigint) as tens"]}}],
+        {"filter": {"condition": "n_chars > 500"}},
+    )
+    return run(t.documents)
+
+
+@query("SELECT source, min(doc_id) AS best FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 8) GROUP BY source")
+def str_07_resume(t: Tables) -> DataFrame:
+    """Only groups that are not in the output yet are processed."""
+    done = t.documents.filter("doc_id < 8").select("source")
+    return incremental.resume(t.documents, done, "source", lambda df: df.groupBy("source").agg(F.min("doc_id").alias("best")))
+
+
+@query("SELECT doc_id, len(string_split(text, ' ')) AS tokens FROM documents")
+def udf_03_tokenizer(t: Tables) -> DataFrame:
+    """A tokenizer as an iterator Arrow UDF, loaded once a worker; the default parts at blanks."""
+
+    @F.pandas_udf(T.LongType())
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.str.split(" ").str.len()
+
+    return t.documents.select("doc_id", count("text").alias("tokens"))
+
+
+@query("SELECT c_mktsegment AS grade, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY c_mktsegment")
+def snk_06_demultiplexed(t: Tables) -> DataFrame:
+    """What lands in each folder of a table partitioned by grade."""
+    return t.customer.groupBy(F.col("c_mktsegment").alias("grade")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
+
+
+@query("SELECT split, count(*) AS n, min(doc_id) AS first FROM (SELECT doc_id, CASE WHEN n_chars < 100 THEN 'bad' WHEN doc_id % 10 = 0 THEN 'cv' ELSE 'train' END AS split FROM documents) GROUP BY split")
+def snk_07_three_way_split(t: Tables) -> DataFrame:
+    split = F.when(F.col("n_chars") < 100, "bad").when(F.col("doc_id") % 10 == 0, "cv").otherwise("train")
+    return t.documents.groupBy(split.alias("split")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))

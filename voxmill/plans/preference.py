@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +19,11 @@ Judge = Callable[[pd.DataFrame], tuple[int, int]]
 
 
 def score_judge(score: str, key: str) -> Judge:
-    """Highest score is best, lowest is worst; ties by least key on either end."""
+    """Highest numeric score is best, lowest is worst; ties by least key on either end."""
 
     def judge(pdf: pd.DataFrame) -> tuple[int, int]:
-        best = pdf.sort_values([score, key], ascending=[False, True], kind="stable").index[0]
-        worst = pdf.sort_values([score, key], ascending=[True, True], kind="stable").index[0]
-        return pdf.index.get_loc(best), pdf.index.get_loc(worst)
+        by_score, by_key = pdf[score].to_numpy(), pdf[key].to_numpy()
+        return int(np.lexsort((by_key, -by_score))[0]), int(np.lexsort((by_key, by_score))[0])
 
     return judge
 
