@@ -211,3 +211,16 @@ def test_samples_have_their_sizes(spark):
     a = [r.id for r in sampling.sample_rows(df, F.col("id"), 50, 1).collect()]
     assert len(set(a)) == 50 and a == [r.id for r in sampling.sample_rows(df, F.col("id"), 50, 1).collect()] != sorted(a)
     assert sampling.sample_two_levels(df, "g", F.col("id"), 3, 4, 1).groupBy("g").count().filter("count = 4").count() == 3
+
+
+def test_sorted_percentiles_match_the_aggregate(spark):
+    rows = [(g, float((i * 37) % 101)) for g in ("a", "b", None) for i in range(23)] + [("a", None), ("one", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ps = (0.0, 0.3, 0.5, 0.95, 1.0)
+    want = {(r.g, p): r[f"p{i}"] for r in df.groupBy("g").agg(*aggregates.linear_percentiles("v", ps, [f"p{i}" for i in range(5)])).collect() for i, p in enumerate(ps)}
+    got = {(r.g, r.p): r.value for r in aggregates.sorted_percentiles(df, "v", ps, ["g"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    floors = {(r.g, r.p): r.value for r in aggregates.floor_percentiles(df, "v", ps, ["g"]).collect()}
+    by = {g: sorted(v for h, v in rows if h == g and v is not None) for g, _ in rows}
+    assert floors == {(g, p): v[int((len(v) - 1) * p)] for g, v in by.items() for p in ps}
+    assert aggregates.floor_percentiles(df.filter("v > 1e9"), "v").count() == 0

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import numbered
+
 LAST = 10**9
 
 
@@ -73,18 +75,43 @@ def dedup_statistics(df: DataFrame, group: str, kept: Column) -> DataFrame:
 PERCENTS = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
 
+def _at_ranks(df: DataFrame, value: str, by: Sequence[str], ranks: Column) -> DataFrame:
+    """(by..., r, value) at the zero-based ranks that ``ranks`` gives for a group's size ``__n``.
+
+    ``ranks`` is an array of structs with a field ``rank``. The values are sorted once by range
+    over the whole table; a group's ranks are offset by the sizes of the groups before it, so
+    neither a large group nor the table as a whole is ever in one task.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("__n")) if by else rows.agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(F.lit(0)).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1) if by else None
+    start = F.coalesce(F.sum("__n").over(before), F.lit(0)) if by else F.lit(0)
+    wanted = sizes.withColumn("__s", start).select("__s", F.explode(ranks).alias("r")).filter(F.col("r.rank").isNotNull())
+    sorted_rows = numbered(rows, [*(F.col(c) for c in by), F.col("__v")], "__rn")
+    return sorted_rows.join(wanted, F.col("__rn") == F.col("__s") + F.col("r.rank") + 1).select(*by, "r", F.col("__v").alias("value"))
+
+
 def floor_percentiles(df: DataFrame, value: str, percents: Sequence[float] = PERCENTS, by: Sequence[str] = ()) -> DataFrame:
-    """Percentile ``sorted[floor((n - 1) * p)]`` as rows (p, value), without gathering the values.
+    """Percentile ``sorted[floor((n - 1) * p)]`` as rows (by..., p, value)."""
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.floor((F.col("__n") - 1) * F.lit(float(p))).alias("rank")) for p in percents])
+    return _at_ranks(df, value, by, ranks).select(*by, F.col("r.p").alias("p"), "value")
+
+
+def sorted_percentiles(df: DataFrame, value: str, percents: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Linearly interpolated percentiles as rows (by..., p, value), for groups of any size.
 
-    Equal values are counted first; the running count then finds the value at each rank.
-    One window runs over distinct values, or over each group's.
+    ``linear_percentiles`` is the aggregate for groups whose distinct values fit one task.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = counts.withColumn("__u", F.sum("__c").over(w.orderBy(value))).withColumn("__n", F.sum("__c").over(w))
-    ranks = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.floor((F.col("__n") - 1) * F.lit(float(p))).alias("r")) for p in percents]))
-    hit = upto.withColumn("__q", ranks).filter((F.col("__q.r") < F.col("__u")) & (F.col("__q.r") >= F.col("__u") - F.col("__c")))
-    return hit.select(*by, F.col("__q.p").alias("p"), F.col(value).alias("value"))
+    pairs = []
+    for p in percents:
+        at = (F.col("__n") - 1) * F.lit(float(p))
+        low = F.floor(at)
+        pairs += [
+            F.struct(F.lit(float(p)).alias("p"), low.alias("rank"), (1.0 - (at - low)).alias("w")),
+            F.struct(F.lit(float(p)).alias("p"), F.when(at > low, low + 1).alias("rank"), (at - low).cast("double").alias("w")),
+        ]
+    hits = _at_ranks(df, value, by, F.array(*pairs))
+    return hits.groupBy(*by, F.col("r.p").alias("p")).agg(F.sum(F.col("value") * F.col("r.w")).alias("value"))
 
 
 def histogram_percentiles(df: DataFrame, bin_column: str, low: float, high: float, bins: int, percents: Sequence[float]) -> DataFrame:

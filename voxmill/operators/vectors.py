@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import squared_distance
-from .aggregates import gather_vector, mean_vector
+from ..storage import fixed
+from .aggregates import gather_vector, mean_vector, sorted_percentiles
 
 
 def centroid_distances(df: DataFrame, key: str, vector: str, cluster: str | None = None) -> DataFrame:
@@ -20,8 +21,12 @@ def centroid_distances(df: DataFrame, key: str, vector: str, cluster: str | None
 
 
 def flag_outliers(df: DataFrame, distance: str, fraction: float) -> DataFrame:
-    """``outlier``: distance at or over the (1 - fraction) quantile of all rows."""
-    cut = df.agg(F.percentile(distance, F.lit(1.0 - fraction)).alias("__q"))
+    """``outlier``: distance at or over the (1 - fraction) quantile of all rows.
+
+    The distances are stored, since the quantile and the flags both read them.
+    """
+    df = fixed(df)
+    cut = sorted_percentiles(df, distance, (1.0 - fraction,)).select(F.col("value").alias("__q"))
     return df.crossJoin(cut).withColumn("outlier", F.col(distance) >= F.col("__q")).drop("__q")
 
 
