@@ -20,7 +20,7 @@ from . import textvec
 from .runtime import BLOCKS, block_batch, blocks_of, exchange, pack, partitions, ranges, split_runs
 
 M = 8
-FLUSH = 8 << 20
+FLUSH = 4 << 20
 SPACE = 32
 
 
@@ -59,7 +59,7 @@ def super_kmers(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, ...]]:
 def _post(k: int, n: int):
     def blocks(held: list[tuple]) -> pa.RecordBatch:
         docs, starts, counts, keys = (np.concatenate([h[i] for h in held]) for i in range(4))
-        slices = [h[4][a:b] for h in held for a, b in zip(h[5].tolist(), h[6].tolist())]
+        slices = [view[a:b] for h in held for view in (memoryview(h[4]),) for a, b in zip(h[5].tolist(), h[6].tolist())]
         part = (keys % np.uint64(n)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         runs, sizes = split_runs(part[order])
@@ -75,7 +75,7 @@ def _post(k: int, n: int):
         for batch in batches:
             ids = np.asarray(batch.column(0)).astype(np.int64)
             for row, start, count, key, begin, end, words in super_kmers(batch.column(1), k):
-                held.append((ids[row], start, count, key, words.tobytes(), begin, end))
+                held.append((ids[row], start, count, key, words, begin, end))
                 size += len(words)
                 if size > FLUSH:
                     yield blocks(held)
