@@ -1,7 +1,10 @@
 """Rows and passages that an operator once left out."""
 
+import random
 from collections import Counter
 
+import pyarrow as pa
+
 from voxmill.llm import licenses as lic
 from voxmill.llm import queries
 
@@ -22,4 +25,27 @@ def test_license_query_finds_all_five_kinds_of_line(spark):
 def test_long_reserved_notice_is_one_finding():
     scanner = lic.Scanner(lic.NOTICES)
     text = "x y. All rights reserved. Unauthorized copying of this file is prohibited. z"
-    assert [(name, start, end) for _, name, _, start, end in scanner.scan(lic.pa.array([text]))] == [("Proprietary", 2, 12)]
+    assert [(name, start, end) for _, name, _, start, end in scanner.scan(pa.array([text]))] == [("Proprietary", 2, 12)]
+
+
+def test_altered_notices_beside_a_whole_one_are_found():
+    """Each notice that keeps the coverage stands, whichever words it lacks."""
+    rng = random.Random(6)
+    for name, notice in lic.NOTICES:
+        scanner = lic.Scanner([(name, notice)])
+        template = notice.replace("-", " ").replace(".", " ").replace(",", " ").split()
+        spare = len(template) - int(scanner.needed[0])
+        filler = [f"filler{k}" for k in range(100)]
+        for _ in range(20 if spare else 1):
+            lost = set(rng.sample(range(1, len(template) - 1), min(spare, len(template) - 2)))
+            altered = ["changed" if k in lost else w for k, w in enumerate(template)]
+            text = " ".join([*template, *filler, *altered, *filler])
+            starts = [start for _, _, _, start, _ in scanner.scan(pa.array([text]))]
+            assert starts == [0, len(template) + 100], (notice, lost)
+
+
+def test_grant_without_its_rarest_words_is_found():
+    grant = next(text for _, text in lic.TEMPLATES if text.startswith("Permission"))
+    altered = grant.replace("granted", "given").replace("charge", "cost").replace("person", "body")
+    found = list(lic.Scanner().scan(pa.array([f"{grant} {'filler ' * 100} {altered}"])))
+    assert [(name, round(share * 27)) for _, name, share, _, _ in found] == [("MIT", 27), ("MIT", 24)]

@@ -7,7 +7,9 @@ as a share of the template's words, is its coverage.
 
 A notice may stand anywhere in a long text and more than once, so the alignment is made in
 windows as wide as the template and ``SLACK`` of it on either side, around every
-occurrence of the three template words that are rarest in the text. Whole batches are
+occurrence of as many places of the template as a notice may lack and one more: those
+whose words are rarest in the text, and all places of its three rarest words. A notice
+that reaches the coverage has one of these. Whole batches are
 sieved before: a template whose words do not reach the coverage even counted without
 order cannot be aligned to it.
 
@@ -151,8 +153,11 @@ class Scanner:
         for t in templates:
             template = self.words[t]
             slack = max(2, int(len(template) * SLACK))
+            order = sorted(range(len(template)), key=lambda p: (len(where.get(template[p], ())), p))
+            spare = len(template) - int(self.needed[t]) + 1
             rare = sorted({w for w in template if w in where}, key=lambda w: (len(where[w]), template.index(w)))[:3]
-            for start in sorted({i - template.index(w) for w in rare for i in where[w]}):
+            places = {*order[:spare], *(p for p in order if template[p] in rare)}
+            for start in sorted({i - p for p in places for i in where.get(template[p], ())}):
                 low, high = max(0, start - slack), min(len(words), start + len(template) + slack)
                 pairs = align(words[low:high], template)
                 if len(pairs) < self.needed[t]:
