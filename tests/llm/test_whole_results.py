@@ -5,6 +5,7 @@ from collections import Counter
 
 import pyarrow as pa
 
+from voxmill.llm import decontaminate as dc
 from voxmill.llm import licenses as lic
 from voxmill.llm import queries
 
@@ -49,3 +50,29 @@ def test_grant_without_its_rarest_words_is_found():
     altered = grant.replace("granted", "given").replace("charge", "cost").replace("person", "body")
     found = list(lic.Scanner().scan(pa.array([f"{grant} {'filler ' * 100} {altered}"])))
     assert [(name, round(share * 27)) for _, name, share, _, _ in found] == [("MIT", 27), ("MIT", 24)]
+
+
+# -- decontamination -----------------------------------------------------------------------
+
+
+def test_cleaned_texts_do_not_depend_on_the_shards(spark):
+    """Items that share a passage, in shards of their own: what one cuts is still judged by the others."""
+    shared = " ".join(f"shared{k}" for k in range(30))
+    tails = {i: " ".join(f"tail{i}x{k}" for k in range(6)) for i in range(8)}
+    items = spark.createDataFrame([(i, f"{shared} {t}") for i, t in tails.items()], "item_id long, text string")
+    rows = [(i, f"before it {shared} {t} and after", i, "x") for i, t in tails.items()] + [(90, f"{shared} {tails[3]}", 0, "y"), (91, None, 0, "z"), (92, "nothing of it", 13, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, runs string")
+    want = sorted([(i, "before it and after", 19, "x") for i in tails] + [(91, None, 0, "z"), (92, "nothing of it", 13, "z")])
+    assert len(list(dc.shards(items, 40))) > 2
+    for size in (dc.SHARD_WORDS, 40):
+        out = dc.remove_contamination(docs, items, size)
+        assert out.schema == docs.schema and sorted(tuple(r) for r in out.collect()) == want
+
+
+def test_random_cleaning_is_the_same_in_any_shards(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = spark.createDataFrame([(i, text(rng.randrange(5, 22))) for i in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, text(rng.randrange(0, 60))) for i in range(60)], "doc_id long, text string")
+    one, many = (sorted(map(tuple, dc.remove_contamination(docs, items, n).collect())) for n in (dc.SHARD_WORDS, 30))
+    assert one == many

@@ -11,7 +11,7 @@ Before that, whole batches are sieved at once by pairs of consecutive words: a m
 stretches of such pairs are streamed. This loses nothing.
 
 The items go to the tasks in automata of about ``SHARD_WORDS`` words; a larger benchmark
-takes several, and the documents pass through one after another.
+takes several, and the documents pass through one after another, each judging the whole text.
 
 Defined cases: null and empty texts have no words and match nothing, on either side; an
 item of fewer than ``MIN_MATCH`` words is never found (it would match ordinary text);
@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec
 from .runtime import split_runs
@@ -228,20 +229,48 @@ def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
 
 
 def remove_contamination(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` with contaminating runs cut out of the texts; all columns kept."""
+    """``docs`` with contaminating runs cut out of the texts; all columns kept.
+
+    Every shard judges the text as it came: the runs found so far go along in a column,
+    and the last shard cuts them all at once.
+    """
     low = [c.lower() for c in docs.columns]
     text_at = low.index("text")
     chars_at = low.index("n_chars") if "n_chars" in low else None
+    marked = "runs"
+    while marked in low:
+        marked += "_"
+
+    def find(shard, first):
+        """Adds the column of runs, or what this shard finds to it."""
 
-    def clean(shard):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(shard)
+            for batch in batches:
+                before = [None] * len(batch) if first else batch.column(len(low)).to_pylist()
+                for row, runs, _ in matcher.documents(batch.column(text_at)):
+                    before[row] = (before[row] or b"") + np.array([(start, size) for _, start, size in runs], np.int64).tobytes()
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(low)], pa.array(before, pa.binary())], names=[*batch.schema.names[: len(low)], marked])
+
+        return run
+
+    def clean(shard, first):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shard)
             for batch in batches:
                 changed, gone = {}, set()
                 texts = batch.column(text_at)
-                for row, runs, words in matcher.documents(texts):
-                    left = np.ones(words, bool)
-                    for _, start, size in runs:
+                found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                for row, runs, _ in matcher.documents(texts):
+                    found[row] += [(start, size) for _, start, size in runs]
+                if not first:
+                    for row, runs in enumerate(batch.column(len(low)).to_pylist()):
+                        if runs:
+                            found[row] += np.frombuffer(runs, np.int64).reshape(-1, 2).tolist()
+                    batch = pa.RecordBatch.from_arrays(batch.columns[: len(low)], names=batch.schema.names[: len(low)])
+                for row, runs in found.items():
+                    left = np.ones(len(textvec.words(texts.slice(row, 1))[0]), bool)
+                    for start, size in runs:
                         left[start : start + size] = False
                     if not left.any():
                         gone.add(row)
@@ -262,7 +291,8 @@ def remove_contamination(docs: DataFrame, items: DataFrame, shard_words: int = S
 
         return run
 
+    parts = list(shards(items, shard_words))
     out = docs
-    for shard in shards(items, shard_words):
-        out = out.mapInArrow(clean(shard), docs.schema)
-    return out
+    for k, shard in enumerate(parts[:-1]):
+        out = out.mapInArrow(find(shard, k == 0), T.StructType([*docs.schema, T.StructField(marked, T.BinaryType())]))
+    return out.mapInArrow(clean(parts[-1], len(parts) == 1), docs.schema) if parts else out
