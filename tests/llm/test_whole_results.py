@@ -76,3 +76,14 @@ def test_random_cleaning_is_the_same_in_any_shards(spark):
     docs = spark.createDataFrame([(i, text(rng.randrange(0, 60))) for i in range(60)], "doc_id long, text string")
     one, many = (sorted(map(tuple, dc.remove_contamination(docs, items, n).collect())) for n in (dc.SHARD_WORDS, 30))
     assert one == many
+
+
+def test_every_text_of_an_item_is_looked_for(spark):
+    one, two, nameless = (" ".join(f"{name}{k}" for k in range(12)) for name in ("a", "b", "n"))
+    items = spark.createDataFrame([(1, two), (1, one), (1, one), (None, nameless)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y"), (3, f"x {nameless} y"), (4, "x y")], "doc_id long, text string")
+    for size in (dc.SHARD_WORDS, 20):
+        assert sorted(map(tuple, dc.contaminated_spans(docs, items, size).collect())) == [(1, 1, 1, 13), (2, 1, 1, 13)]
+        assert sorted(map(tuple, dc.remove_contamination(docs, items, size).collect())) == [(k, "x y") for k in (1, 2, 3, 4)]
+    again = spark.createDataFrame([(7, one)], "item_id long, text string")
+    assert [tuple(r) for r in dc.contaminated_spans(docs, again).collect()] == [(1, 7, 1, 13)]

@@ -15,7 +15,8 @@ takes several, and the documents pass through one after another, each judging th
 
 Defined cases: null and empty texts have no words and match nothing, on either side; an
 item of fewer than ``MIN_MATCH`` words is never found (it would match ordinary text);
-repeated items with one item_id count once, under a null item_id not at all; repeated
+each different text of an item_id is an item of its own, repeated ones count once; texts
+under a null item_id are cut out, but give no spans; repeated
 documents repeat their result; a null doc_id is passed on. In the cleaned table a
 document of which no word is left goes; n_chars, where there is such a column, is that
 of the cleaned text. Other columns play no part, whatever their names.
@@ -100,9 +101,11 @@ def _pairs(words: np.ndarray) -> np.ndarray:
 
 
 class Matcher:
-    """One automaton with what is needed to attribute its matches to items."""
+    """One automaton with what is needed to attribute its matches to items; an item_id may have several texts."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.ids = [i for i, _ in items]
+        items = [(k, w) for k, (_, w) in enumerate(items)]
         self.size = {i: len(w) for i, w in items}
         self.automaton = SuffixAutomaton([w.tolist() for _, w in items])
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -151,7 +154,7 @@ class Matcher:
                 covered[start + diagonal : start + diagonal + size] = True
             whole = covered.mean() >= COVERAGE
             out += [(item, start, size) for start, size, _ in runs if whole or size >= LIMIT]
-        return sorted(out)
+        return [(self.ids[item], start, size) for item, start, size in sorted(out)]
 
     def documents(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int]], int]]:
         """(row, runs, words) of each text that is contaminated."""
@@ -168,12 +171,12 @@ class Matcher:
                     yield at + row, runs, len(own)
 
 
-_built: dict[bytes, Matcher] = {}
+_built: dict[tuple, Matcher] = {}
 
 
 def _matcher(items: list[tuple[int, bytes]]) -> Matcher:
     """The matcher of these items, built once in each Python worker."""
-    key = b"".join(w for _, w in items)
+    key = tuple(items)
     if key not in _built:
         _built.clear()
         _built[key] = Matcher([(i, np.frombuffer(w, np.uint64)) for i, w in items])
@@ -183,18 +186,19 @@ def _matcher(items: list[tuple[int, bytes]]) -> Matcher:
 def shards(items: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[tuple[int, bytes]]]:
     """The items' word hashes, a bounded number of words at a time."""
     named = items.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null and text is not null")
+    texts = named.distinct()
     # a word has a letter and what parts it from the next
-    room = int(named.agg(F.sum(F.length("text"))).first()[0] or 0) // 2
+    room = int(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // 2
     n = max(1, -(-room // shard_words))
     for shard in range(n):
-        rows = named.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == shard).groupBy("item").agg(F.min("text").alias("text")).orderBy("item").collect()
-        out = []
+        rows = texts.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == shard).orderBy("item", "text").collect()
+        out: dict[tuple[int, bytes], None] = {}
         for row in rows:
             words, _ = textvec.words(pa.array([row["text"]], pa.string()))
             if len(words) >= MIN_MATCH:
-                out.append((row["item"], words.tobytes()))
+                out[row["item"], words.tobytes()] = None
         if out:
-            yield out
+            yield list(out)
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -291,7 +295,8 @@ def remove_contamination(docs: DataFrame, items: DataFrame, shard_words: int = S
 
         return run
 
-    parts = list(shards(items, shard_words))
+    # what is cut needs no name, so items without one count too
+    parts = list(shards(items.select(F.lit(0).alias("item_id"), "text"), shard_words))
     out = docs
     for k, shard in enumerate(parts[:-1]):
         out = out.mapInArrow(find(shard, k == 0), T.StructType([*docs.schema, T.StructField(marked, T.BinaryType())]))
