@@ -6,6 +6,7 @@ from collections import Counter
 import pyarrow as pa
 
 from voxmill.llm import decontaminate as dc
+from voxmill.llm import lang_id as li
 from voxmill.llm import licenses as lic
 from voxmill.llm import queries
 
@@ -87,3 +88,25 @@ def test_every_text_of_an_item_is_looked_for(spark):
         assert sorted(map(tuple, dc.remove_contamination(docs, items, size).collect())) == [(k, "x y") for k in (1, 2, 3, 4)]
     again = spark.createDataFrame([(7, one)], "item_id long, text string")
     assert [tuple(r) for r in dc.contaminated_spans(docs, again).collect()] == [(1, 7, 1, 13)]
+
+
+# -- language ------------------------------------------------------------------------------
+
+
+def test_a_small_share_of_a_long_document_is_found(spark):
+    """1 % of a second language in 20,000 words, for which the penalised likelihood pays."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars between 1000 and 5000").orderBy("doc_id").collect()
+    by = {k: [w for r in rows if r.lang == k and "|" not in r.text for w in r.text.split()] for k in ("en", "fr")}
+    model = li.train([(r.lang, r.text) for r in rows])
+    en, fr = (by["en"] * 40)[:19_800], by["fr"][:200]
+    shares, _ = li.infer(model, pa.array([" ".join(en + fr)]))
+    assert 0.005 < shares[0][model.names.index("fr")] < 0.02
+
+
+def test_sets_that_are_left_out_would_lose(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(300).collect()
+    texts = pa.array([r.text for r in rows] + ["", None, "x", "der the la"])
+    model = li.train([(r.lang, r.text) for r in rows])
+    bounded, _ = li.infer(model, texts)
+    monkeypatch.setattr(li, "_most", lambda odds, first, share, fit: li.np.full(len(fit), li.np.inf))
+    assert (bounded == li.infer(model, texts)[0]).all()

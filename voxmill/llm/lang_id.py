@@ -6,7 +6,8 @@ document). A further component, ``noise``, gives every 4-gram the same likelihoo
 document is a mixture: each of its words is drawn from one component, and expectation-
 maximisation over all its words estimates the proportions. The language set is the one
 of best penalised likelihood (BIC) among the sets of the k most present components,
-k = 1, 2, ...; the proportions are then those of the mixture over that set alone.
+k = 1, 2, ...; the proportions are then those of the mixture over that set alone. Sets
+are left out only where a bound on the likelihood of any mixture shows that they lose.
 
 Defined cases: a document is rejected where it has no word (null and empty texts
 included) or where noise makes up more than ``MAX_NOISE`` of the chosen mixture; all
@@ -34,7 +35,6 @@ GRAM = 4
 SLOTS = 1 << 16
 SMOOTHING = 0.05
 MAX_NOISE = 0.9
-MIN_SHARE = 0.02
 ROUNDS = 12
 NOISE = "noise"
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
@@ -129,6 +129,18 @@ def _mix(odds: np.ndarray, base: np.ndarray, first: np.ndarray, allowed: np.ndar
     return share, fit
 
 
+def _most(odds: np.ndarray, first: np.ndarray, share: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """What the log-likelihood of no mixture of a document exceeds, given one of them.
+
+    By Jensen's inequality another mixture gains at most n log(max over components of
+    the mean of their odds to the given one); something is added for rounding.
+    """
+    words = np.diff(first)
+    joint = (odds * np.repeat(share.astype(np.float32), words, axis=0)).sum(axis=1, keepdims=True)
+    gain = (_sums(odds / np.maximum(joint, 1e-30), first) / np.maximum(words, 1)[:, None]).max(axis=1)
+    return fit + words * np.log(np.maximum(gain, 1)) + 0.01 + 1e-6 * words
+
+
 def word_logs(model: Model, slots: np.ndarray, begin: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """Log-likelihood of each word by component; a block of words at a time, for long texts."""
     out = np.empty((len(begin), model.logs.shape[1]), np.float32)
@@ -160,9 +172,9 @@ def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         price = 0.5 * np.log(np.maximum(counts[at : at + n], 2))
         best_fit = np.full(n, -np.inf)
         best = np.zeros((n, k))
-        present = (share > MIN_SHARE).sum(axis=1)
+        most = _most(odds, first, share, fit)
         for size in range(1, k + 1):
-            some = np.flatnonzero((present >= size) if size > 1 else np.ones(n, bool))
+            some = np.flatnonzero(most - price * (2 * size - 1) > best_fit)
             if not len(some):
                 break
             words = np.diff(first)[some]
