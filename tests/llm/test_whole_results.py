@@ -4,6 +4,8 @@ import random
 from collections import Counter
 
 import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from voxmill.llm import decontaminate as dc
 from voxmill.llm import lang_id as li
@@ -13,6 +15,23 @@ from voxmill.llm import queries
 SF = "/root/testdata/sf0.01"
 
 
+def brute_runs(words, item):
+    """Contaminating runs (start, length), diagonal by diagonal."""
+    out, covered = [], set()
+    for d in range(-len(words), len(item)):
+        run = 0
+        for s in range(len(words) + 1):
+            if s < len(words) and 0 <= s + d < len(item) and words[s] == item[s + d]:
+                run += 1
+                continue
+            if run >= dc.MIN_MATCH:
+                out.append((s - run, run))
+                covered |= set(range(s - run + d, s + d))
+            run = 0
+    whole = len(covered) >= dc.COVERAGE * len(item)
+    return [(s, n) for s, n in out if whole or n >= dc.LIMIT]
+
+
 # -- licenses ------------------------------------------------------------------------------
 
 
@@ -65,8 +84,8 @@ def test_cleaned_texts_do_not_depend_on_the_shards(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, runs string")
     want = sorted([(i, "before it and after", 19, "x") for i in tails] + [(91, None, 0, "z"), (92, "nothing of it", 13, "z")])
     assert len(list(dc.shards(items, 40))) > 2
-    for size in (dc.SHARD_WORDS, 40):
-        out = dc.remove_contamination(docs, items, size)
+    for size, together in ((dc.SHARD_WORDS, dc.SHARDS), (40, dc.SHARDS), (40, 1), (40, 3)):
+        out = dc.remove_contamination(docs, items, size, together)
         assert out.schema == docs.schema and sorted(tuple(r) for r in out.collect()) == want
 
 
@@ -75,8 +94,53 @@ def test_random_cleaning_is_the_same_in_any_shards(spark):
     text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
     items = spark.createDataFrame([(i, text(rng.randrange(5, 22))) for i in range(12)], "item_id long, text string")
     docs = spark.createDataFrame([(i, text(rng.randrange(0, 60))) for i in range(60)], "doc_id long, text string")
-    one, many = (sorted(map(tuple, dc.remove_contamination(docs, items, n).collect())) for n in (dc.SHARD_WORDS, 30))
-    assert one == many
+    one, many, passes = (sorted(map(tuple, dc.remove_contamination(docs, items, *n).collect())) for n in ((dc.SHARD_WORDS,), (30,), (30, 2)))
+    assert one == many == passes
+
+
+def test_spans_of_items_with_repeated_and_null_ids_match_brute_force(spark):
+    """Every distinct text under an id is an item; a null id gives no spans."""
+    rng = random.Random(11)
+    text = lambda low, high: " ".join(rng.choice("abc") for _ in range(rng.randrange(low, high)))
+    items = [(rng.choice([1, 2, 3, None]), text(3, 18)) for _ in range(16)]
+    items += items[:3]
+    docs = [(rng.choice([None, *range(30)]), text(0, 50)) for _ in range(40)]
+    want = Counter()
+    for i, q in set(items):
+        if i is not None and len(q.split()) >= dc.MIN_MATCH:
+            want.update((d, i, s, s + n) for d, t in docs for s, n in brute_runs(t.split(), q.split()))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size, together in ((dc.SHARD_WORDS, dc.SHARDS), (25, dc.SHARDS), (25, 2)):
+        assert Counter(map(tuple, dc.contaminated_spans(*frames, size, together).collect())) == want
+
+
+def test_the_automaton_decides(spark, monkeypatch):
+    """Runs come from its states: one that says that nothing matches finds nothing."""
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
+    texts = pa.array(["x one two three four five six seven eight nine y"])
+    benchmark = dc.Benchmark(next(dc.passes(items, dc.SHARD_WORDS, dc.SHARDS)))
+    assert list(benchmark.documents(texts)) == [(0, [(1, 1, 9)], 11)]
+    monkeypatch.setattr(dc.SuffixAutomaton, "walk", lambda self, words: ((0, 0) for _ in words))
+    assert not list(benchmark.documents(texts))
+
+
+@given(st.lists(st.lists(st.integers(0, 2), max_size=9), max_size=4), st.lists(st.integers(0, 3), max_size=20), st.integers(1, 4))
+@settings(max_examples=200, deadline=None)
+def test_places_of_matches_match_brute_force(items, text, least):
+    automaton = dc.SuffixAutomaton(items)
+    all_words = [(i, e) for i, q in enumerate(items) for e in range(1, len(q) + 1)]
+    at = {int(p): where for p, where in zip(automaton.place, all_words)}
+    assert sorted(at) == list(range(len(all_words)))
+    for end, (state, size) in enumerate(automaton.walk(text), 1):
+        got = {(*at[p], n) for a, b, n in automaton.matches(state, size, least) for p in range(a, b)}
+        want = set()
+        for i, e in all_words:
+            n = 0
+            while n < min(e, end) and items[i][e - 1 - n] == text[end - 1 - n]:
+                n += 1
+            if n >= least:
+                want.add((i, e, n))
+        assert got == want
 
 
 def test_every_text_of_an_item_is_looked_for(spark):

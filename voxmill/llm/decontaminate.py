@@ -1,17 +1,20 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
 The normalised words of all benchmark items make one automaton. Training words are
-streamed through it, which gives the longest match that ends at each word. Where
-``MIN_MATCH`` words or more match, the common runs with each item are laid out, and a
-run is contamination where it has ``LIMIT`` words or more, or where the runs of the
-document cover ``COVERAGE`` of the item or more.
+streamed through it, which gives the state and the longest match that ends at each word.
+The state and those on its path of suffix links have the places at which the items hold
+that match or a shorter one: a place that a state has and the one before it on the path
+has not ends a common run as long as the state's strings. Of the runs of ``MIN_MATCH``
+words or more that the next word does not go on with, those of ``LIMIT`` words or more are
+contamination, and all of an item where they cover ``COVERAGE`` of it or more.
 
 Before that, whole batches are sieved at once by pairs of consecutive words: a match of
 ``MIN_MATCH`` words consists of pairs that the benchmark has, so only unbroken
 stretches of such pairs are streamed. This loses nothing.
 
-The items go to the tasks in automata of about ``SHARD_WORDS`` words; a larger benchmark
-takes several, and the documents pass through one after another, each judging the whole text.
+The items are split into automata of about ``SHARD_WORDS`` words, kept as flat arrays, and
+``SHARDS`` of them go to the tasks at once; a larger benchmark takes several passes over
+the documents. Each automaton judges the whole text as it came.
 
 Defined cases: null and empty texts have no words and match nothing, on either side; an
 item of fewer than ``MIN_MATCH`` words is never found (it would match ordinary text);
@@ -24,8 +27,11 @@ of the cleaned text. Other columns play no part, whatever their names.
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +41,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .runtime import split_runs
+from .runtime import ranges, split_runs
 
 MIN_MATCH = 5
 LIMIT = 8
 COVERAGE = 0.5
 SHARD_WORDS = 100_000
+SHARDS = 10
 
 
 class SuffixAutomaton:
-    """All substrings of several word sequences; states are numbers, state 0 is empty."""
+    """All substrings of several word sequences; states are numbers, state 0 is empty.
+
+    It is built on a dictionary a state and then kept as sorted arrays. ``low`` and
+    ``high`` bound the places (see ``place``) at which a state's strings end.
+    """
 
     def __init__(self, sequences):
         self.length, self.link, self.next = [0], [-1], [{}]
+        ends: list[int] = []
         for words in sequences:
             last = 0
             for word in words:
                 last = self._extend(last, word)
+                ends.append(last)
+        self._freeze(np.array(ends, np.int64))
 
     def _state(self, length: int, link: int, following: dict) -> int:
         self.length.append(length)
@@ -82,18 +96,71 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, word)
         return new
 
-    def longest(self, words) -> list[int]:
-        """For each word, the length of the longest match that ends with it."""
+    def _freeze(self, ends: np.ndarray) -> None:
+        """Sorted transitions, and the places by state: those of a subtree of links lie together."""
+        n = len(self.length)
+        sizes = np.fromiter(map(len, self.next), np.int64, n)
+        total = int(sizes.sum())
+        words = np.fromiter((w for f in self.next for w in f), np.uint64, total)
+        to = np.fromiter((t for f in self.next for t in f.values()), np.int64, total)
+        order = np.lexsort((words, np.repeat(np.arange(n), sizes)))
+        self.first = array("q", np.concatenate(([0], np.cumsum(sizes))).tobytes())
+        self.words, self.to = array("Q", words[order].tobytes()), array("q", to[order].tobytes())
+        self.next = None
+        own = np.bincount(ends, minlength=n)
+        held, link, by_length = own.tolist(), self.link, np.argsort(self.length, kind="stable").tolist()
+        for v in reversed(by_length[1:]):
+            held[link[v]] += held[v]
+        low, cursor = [0] * n, [0] * n
+        for v in by_length:
+            if v:
+                low[v] = cursor[link[v]]
+                cursor[link[v]] += held[v]
+            cursor[v] = low[v] + int(own[v])
+        self.low = array("q", low)
+        self.high = array("q", [a + b for a, b in zip(low, held)])
+        self.length, self.link = array("q", self.length), array("q", link)
+        #: the place of each word of the sequences, one after another; several can have one state
+        by_state = np.argsort(ends, kind="stable")
+        starts, runs = split_runs(ends[by_state])
+        self.place = np.empty(len(ends), np.int64)
+        self.place[by_state] = np.repeat(np.array(low, np.int64)[ends[by_state][starts]], runs) + ranges(np.zeros(len(runs), np.int64), runs)
+
+    def _step(self, state: int, word: int) -> int:
+        end = self.first[state + 1]
+        k = bisect_left(self.words, word, self.first[state], end)
+        return self.to[k] if k < end and self.words[k] == word else -1
+
+    def walk(self, words) -> Iterator[tuple[int, int]]:
+        """For each word, the state and the length of the longest match that ends with it."""
         state = size = 0
-        out = []
         for word in words:
-            while state and word not in self.next[state]:
+            step = self._step(state, word)
+            while step < 0 and state:
                 state = self.link[state]
                 size = self.length[state]
-            step = self.next[state].get(word)
-            state, size = (0, 0) if step is None else (step, size + 1)
-            out.append(size)
-        return out
+                step = self._step(state, word)
+            state, size = (0, 0) if step < 0 else (step, size + 1)
+            yield state, size
+
+    def longest(self, words) -> list[int]:
+        return [size for _, size in self.walk(words)]
+
+    def matches(self, state: int, size: int, least: int) -> Iterator[tuple[int, int, int]]:
+        """(first place, end, length): where the items hold the match and its suffixes of ``least`` words or more."""
+        low = high = -1
+        while size >= least:
+            a, b = self.low[state], self.high[state]
+            if low < 0:
+                yield a, b, size
+            else:
+                if a < low:
+                    yield a, low, size
+                if high < b:
+                    yield high, b, size
+            low, high = a, b
+            state = self.link[state]
+            size = self.length[state] if state >= 0 else 0
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
@@ -101,28 +168,63 @@ def _pairs(words: np.ndarray) -> np.ndarray:
 
 
 class Matcher:
-    """One automaton with what is needed to attribute its matches to items; an item_id may have several texts."""
+    """One automaton with the items that its places lie in; an item_id may have several texts."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.ids = [i for i, _ in items]
-        items = [(k, w) for k, (_, w) in enumerate(items)]
-        self.size = {i: len(w) for i, w in items}
+        self.size = np.array([len(w) for _, w in items], np.int64)
         self.automaton = SuffixAutomaton([w.tolist() for _, w in items])
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, w in items:
-            for at, h in enumerate(textvec.window_hash(w, MIN_MATCH).tolist()):
-                self.places[h].append((i, at))
-        pairs = np.unique(np.concatenate([_pairs(w) for _, w in items if len(w) > 1] or [np.zeros(0, np.uint64)]))
-        self.pairs = pairs
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(pairs & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        n = int(self.size.sum())
+        self.item, self.end, self.following = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.uint64)
+        self.last = np.zeros(n, bool)
+        place = self.automaton.place
+        self.item[place] = np.repeat(np.arange(len(items)), self.size)
+        self.end[place] = ranges(np.ones(len(items), np.int64), self.size)
+        words = np.concatenate([w for _, w in items])
+        self.following[place] = np.append(words[1:], np.uint64(0))
+        self.last[place[np.cumsum(self.size) - 1]] = True
+
+    def runs(self, words: np.ndarray, stretches: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(item, start, length) of contaminating runs in a document's words."""
+        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for s, e in stretches:
+            for k, (state, size) in enumerate(self.automaton.walk(words[s:e].tolist()), s + 1):
+                for a, b, length in self.automaton.matches(state, size, MIN_MATCH):
+                    # a run goes on where the item's next word is the document's; a stretch ends all
+                    at = np.arange(a, b)
+                    if k < e:
+                        at = at[self.last[a:b] | (self.following[a:b] != words[k])]
+                    for item, end in zip(self.item[at].tolist(), self.end[at].tolist()):
+                        found[item].append((k - length, length, end - length))
+        out = []
+        for item, runs in found.items():
+            covered = np.zeros(self.size[item], bool)
+            for _, size, at in runs:
+                covered[at : at + size] = True
+            whole = covered.mean() >= COVERAGE
+            out += [(item, start, size) for start, size, _ in runs if whole or size >= LIMIT]
+        return [(self.ids[item], start, size) for item, start, size in sorted(out)]
+
+
+SIEVE = 1 << 20
+
+
+class Benchmark:
+    """The matchers of one pass, and the sieve of all their pairs of words."""
+
+    def __init__(self, shards: list[list[tuple[int, bytes]]]):
+        items = [[(i, np.frombuffer(w, np.uint64)) for i, w in shard] for shard in shards]
+        self.matchers = [Matcher(shard) for shard in items]
+        self.pairs = np.unique(np.concatenate([_pairs(w) for shard in items for _, w in shard] or [np.zeros(0, np.uint64)]))
+        self.sieve = np.zeros(SIEVE, bool)
+        self.sieve[(self.pairs & np.uint64(SIEVE - 1)).astype(np.int64)] = True
 
     def stretches(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
         """Unbroken runs of at least MIN_MATCH words all of whose pairs the items have."""
         if len(words) < MIN_MATCH or not len(self.pairs):
             return []
         pairs = _pairs(words)
-        maybe = self.sieve[(pairs & np.uint64((1 << 20) - 1)).astype(np.int64)]
+        maybe = self.sieve[(pairs & np.uint64(SIEVE - 1)).astype(np.int64)]
         inner = first[(first > 0) & (first < len(words))]
         maybe[inner - 1] = False
         at = np.flatnonzero(maybe)
@@ -130,32 +232,6 @@ class Matcher:
         starts, sizes = split_runs(at - np.arange(len(at)))
         return [(int(at[s]), int(at[s] + n + 1)) for s, n in zip(starts, sizes) if n + 1 >= MIN_MATCH]
 
-    def runs(self, words: np.ndarray, stretches: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """(item, start, length) of contaminating runs in a document's words."""
-        by_diagonal: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for s, e in stretches:
-            part = words[s:e]
-            ends = np.flatnonzero(np.array(self.automaton.longest(part.tolist())) >= MIN_MATCH)
-            if not len(ends):
-                continue
-            grams = textvec.window_hash(part, MIN_MATCH)
-            for k in (ends - MIN_MATCH + 1).tolist():
-                for item, at in self.places.get(int(grams[k]), ()):
-                    by_diagonal[item, at - (s + k)].append(s + k)
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for (item, diagonal), at in by_diagonal.items():
-            at = np.array(sorted(at))
-            starts, sizes = split_runs(at - np.arange(len(at)))
-            found[item] += [(int(at[s]), int(n) + MIN_MATCH - 1, diagonal) for s, n in zip(starts, sizes)]
-        out = []
-        for item, runs in found.items():
-            covered = np.zeros(self.size[item], bool)
-            for start, size, diagonal in runs:
-                covered[start + diagonal : start + diagonal + size] = True
-            whole = covered.mean() >= COVERAGE
-            out += [(item, start, size) for start, size, _ in runs if whole or size >= LIMIT]
-        return [(self.ids[item], start, size) for item, start, size in sorted(out)]
-
     def documents(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int]], int]]:
         """(row, runs, words) of each text that is contaminated."""
         for at, part in textvec.chunks(texts):
@@ -166,20 +242,20 @@ class Matcher:
             for row, stretches in by_row.items():
                 base = int(first[row])
                 own = words[base : first[row + 1]]
-                runs = self.runs(own, [(s - base, e - base) for s, e in stretches])
+                runs = [r for m in self.matchers for r in m.runs(own, [(s - base, e - base) for s, e in stretches])]
                 if runs:
                     yield at + row, runs, len(own)
 
 
-_built: dict[tuple, Matcher] = {}
+_built: dict[tuple, Benchmark] = {}
 
 
-def _matcher(items: list[tuple[int, bytes]]) -> Matcher:
-    """The matcher of these items, built once in each Python worker."""
-    key = tuple(items)
+def _benchmark(shards: list[list[tuple[int, bytes]]]) -> Benchmark:
+    """The automata of these shards, built once in each Python worker."""
+    key = tuple(map(tuple, shards))
     if key not in _built:
         _built.clear()
-        _built[key] = Matcher([(i, np.frombuffer(w, np.uint64)) for i, w in items])
+        _built[key] = Benchmark(shards)
     return _built[key]
 
 
@@ -201,24 +277,31 @@ def shards(items: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[tu
             yield list(out)
 
 
-def contaminated_spans(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+def passes(items: DataFrame, shard_words: int, shards_a_pass: int) -> Iterator[list[list[tuple[int, bytes]]]]:
+    """The shards, ``shards_a_pass`` at a time."""
+    found = shards(items, shard_words)
+    while some := list(islice(found, shards_a_pass)):
+        yield some
+
+
+def contaminated_spans(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS, shards_a_pass: int = SHARDS) -> DataFrame:
     """(doc_id, item_id, start_word, end_word) of every contaminating run; end_word is exclusive."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, start_word long, end_word long"
 
-    def scan(shard):
+    def scan(some):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shard)
+            benchmark = _benchmark(some)
             for batch in batches:
                 ids = batch.column(0)
-                found = [(ids[row].as_py(), item, start, start + size) for row, runs, _ in matcher.documents(batch.column(1)) for item, start, size in runs]
+                found = [(ids[row].as_py(), item, start, start + size) for row, runs, _ in benchmark.documents(batch.column(1)) for item, start, size in runs]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([],) * 4)], names=["doc_id", "item_id", "start_word", "end_word"])
 
         return run
 
     out = None
-    for shard in shards(items, shard_words):
-        spans = rows.mapInArrow(scan(shard), schema)
+    for some in passes(items, shard_words, shards_a_pass):
+        spans = rows.mapInArrow(scan(some), schema)
         out = spans if out is None else out.unionByName(spans)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -232,11 +315,11 @@ def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
     return data[keep].tobytes().decode("utf-8", "replace")
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+def remove_contamination(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS, shards_a_pass: int = SHARDS) -> DataFrame:
     """``docs`` with contaminating runs cut out of the texts; all columns kept.
 
-    Every shard judges the text as it came: the runs found so far go along in a column,
-    and the last shard cuts them all at once.
+    Every shard judges the text as it came. Where there is more than one pass, the runs found
+    so far go along in a column, and the last pass cuts them all at once.
     """
     low = [c.lower() for c in docs.columns]
     text_at = low.index("text")
@@ -245,27 +328,27 @@ def remove_contamination(docs: DataFrame, items: DataFrame, shard_words: int = S
     while marked in low:
         marked += "_"
 
-    def find(shard, first):
-        """Adds the column of runs, or what this shard finds to it."""
+    def find(some, first):
+        """Adds the column of runs, or what this pass finds to it."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shard)
+            benchmark = _benchmark(some)
             for batch in batches:
                 before = [None] * len(batch) if first else batch.column(len(low)).to_pylist()
-                for row, runs, _ in matcher.documents(batch.column(text_at)):
+                for row, runs, _ in benchmark.documents(batch.column(text_at)):
                     before[row] = (before[row] or b"") + np.array([(start, size) for _, start, size in runs], np.int64).tobytes()
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(low)], pa.array(before, pa.binary())], names=[*batch.schema.names[: len(low)], marked])
 
         return run
 
-    def clean(shard, first):
+    def clean(some, first):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shard)
+            benchmark = _benchmark(some)
             for batch in batches:
                 changed, gone = {}, set()
                 texts = batch.column(text_at)
                 found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for row, runs, _ in matcher.documents(texts):
+                for row, runs, _ in benchmark.documents(texts):
                     found[row] += [(start, size) for _, start, size in runs]
                 if not first:
                     for row, runs in enumerate(batch.column(len(low)).to_pylist()):
@@ -296,8 +379,8 @@ def remove_contamination(docs: DataFrame, items: DataFrame, shard_words: int = S
         return run
 
     # what is cut needs no name, so items without one count too
-    parts = list(shards(items.select(F.lit(0).alias("item_id"), "text"), shard_words))
+    parts = list(passes(items.select(F.lit(0).alias("item_id"), "text"), shard_words, shards_a_pass))
     out = docs
-    for k, shard in enumerate(parts[:-1]):
-        out = out.mapInArrow(find(shard, k == 0), T.StructType([*docs.schema, T.StructField(marked, T.BinaryType())]))
+    for k, some in enumerate(parts[:-1]):
+        out = out.mapInArrow(find(some, k == 0), T.StructType([*docs.schema, T.StructField(marked, T.BinaryType())]))
     return out.mapInArrow(clean(parts[-1], len(parts) == 1), docs.schema) if parts else out
