@@ -1,6 +1,9 @@
 """Language, HTML, token counts, licenses and decontamination."""
 
 import random
+import re
+import time
+from html.parser import HTMLParser
 
 import pyarrow as pa
 import pytest
@@ -115,6 +118,140 @@ def test_two_passes_over_blocks():
     assert found == [("Home", "bad"), ("News and ", "bad"), ("A heading", "good"), ("This is t", "good"), ("Yes.", "good"), ("This is t", "good"), ("© 2020 al", "bad")]
 
 
+class _Cut(HTMLParser):
+    """Blocks of a well-formed page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.now, self.links, self.anchor, self.breaks, self.hidden = [], "", 0, False, 0, 0
+
+    def flush(self):
+        text = " ".join(self.now.split())
+        if text:
+            self.out.append((text, min(self.links, len(text))))
+        self.now, self.links, self.breaks = "", 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in hx._HIDDEN:
+            self.flush()
+            self.hidden += 1
+        elif tag == "a":
+            self.anchor = True
+        elif tag == "br":
+            self.breaks += 1
+            self.now += "\n"
+            if self.breaks == 2:
+                self.flush()
+        elif tag in hx._BLOCKS:
+            self.flush()
+            self.anchor = False
+
+    def handle_endtag(self, tag):
+        if tag in hx._HIDDEN:
+            self.hidden -= 1
+        elif tag == "a":
+            self.anchor = False
+        elif tag in hx._BLOCKS:
+            self.flush()
+            self.anchor = False
+
+    def handle_data(self, data):
+        if self.hidden:
+            return
+        self.now += data
+        if data.strip():
+            self.breaks = 0
+            if self.anchor:
+                self.links += len(" ".join(data.split()))
+
+
+def _labels(cut):
+    """The first pass, block by block, from the counts that define it."""
+    stops = [set(words.split()) for words in hx.STOP_WORDS.values()]
+    rows = []
+    for text, links in cut:
+        words = re.findall(r"[^\W_]+", text.lower())
+        best = [sum(w in s for w in words) for s in stops]
+        rows.append((text, links / len(text), words, best, len(text) + 2 * sum("\u3040" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7af" for c in text)))
+    plain = [r for r in rows if r[2] and r[1] <= hx.LINKS_HIGH]
+    total = [sum(r[3][k] for r in plain) for k in range(len(stops))]
+    listed = any(len(r[0]) >= hx.LENGTH_LOW and max(r[3]) >= hx.STOP_HIGH * len(r[2]) for r in plain) or max(total) >= hx.STOP_LOW * sum(len(r[2]) for r in plain)
+    out = []
+    for text, share, words, best, size in rows:
+        if not words or share > hx.LINKS_HIGH or ("©" in text and size <= hx.LENGTH_HIGH):
+            out.append("bad")
+        elif size < hx.LENGTH_LOW:
+            out.append("bad" if share else "short")
+        elif listed:
+            d = max(best) / len(words)
+            out.append(("good" if size > hx.LENGTH_HIGH else "near-good") if d >= hx.STOP_HIGH else "near-good" if d >= hx.STOP_LOW else "bad")
+        else:
+            out.append("bad" if not any(c in text for c in ".!?…。！？؟।") else "good" if size > hx.LENGTH_HIGH else "near-good")
+    return out
+
+
+def _first(page):
+    found = hx.blocks(page)
+    listed = hx.is_listed(found)
+    return [(b.text, b.links) for b in found], [hx.first_pass(b, listed) for b in found]
+
+
+def test_first_pass_matches_brute_force(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    assert len(pages) > 200
+    for page in pages:
+        parser = _Cut()
+        parser.feed(page)
+        parser.close()
+        parser.flush()
+        cut, labels = _first(page)
+        assert cut == parser.out and labels == _labels(parser.out)
+
+
+PHRASES = st.sampled_from(["the of and to in it is ", "der die und das ", "wort fgh ", "漢字の文。", "Конец фразы и не ", "Zdanie skończone. ", "© ", "x" * 60 + " ", "a & b &amp; ", "12 "])
+TAGS = st.sampled_from(["<p>", "</p>", "<br>", "<a href='x>y'>", "</a>", "<h2>", "</h2>", "<div class=\"k\">", "<script>var p='<p>';</script>", "<!-- <p>no</p> -->", "<b>", "</b>"])
+
+
+@given(st.lists(st.tuples(TAGS, st.lists(PHRASES, max_size=9)), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_blocks_of_any_page_match_brute_force(parts):
+    page = "".join(tag + "".join(text) for tag, text in parts)
+    parser = _Cut()
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    cut, labels = _first(page)
+    assert cut == parser.out and labels == _labels(parser.out)
+
+
+@pytest.mark.parametrize("evil", ["<a ", "<a \"", "<a '>x", "<a \"><a\" ", "<!", "<!--", "</script ", "<script>", "<svg>", "<", "&", "&#9", "<p>x", "<br>"])
+def test_a_long_malformed_page_takes_linear_time(evil):
+    page = evil * (1_000_000 // len(evil))
+    began = time.process_time()
+    hx.classify(page + "'")
+    assert time.process_time() - began < 10
+
+
+def test_malformed_pages_have_a_defined_text():
+    text = lambda page: "\n".join(b.text for b in hx.classify(page) if b.label == "good")
+    assert text(f"<p>{GOOD}<a ") == GOOD.strip() + " <a"
+    assert text(f"<svg><p>{GOOD}</p>") == text(f"<object><p>{GOOD}") == text(f"<template>{GOOD}") == GOOD.strip()
+    assert text(f"<script><p>{GOOD}</p>") == text(f"<style>{GOOD}") == ""
+    assert text(f"<p title=\"x>{GOOD}</p><p>{GOOD}</p>") != ""
+    assert text("<p>&#" + "9" * 5000 + f"; {GOOD}") == "\ufffd " + GOOD.strip()
+
+
+def test_languages_without_a_list_are_judged_by_sentences():
+    polish = "Wszystkie zwierzęta leżały spokojnie przy drodze, gdzie wieczorem słońce ogrzewało kamienie. " * 4
+    chinese = "所有动物都静静地躺在路边，傍晚的阳光温暖了石头。孩子们从学校回家，看见它们便停下脚步。" * 3
+    nav = "<ul><li><a href='/'>Strona</a></li><li><a href='/b'>Dalej i dalej</a></li></ul>"
+    for text in (polish, chinese, "Все животные спокойно лежали у дороги, и вечером солнце грело камни, как это было всегда. " * 4):
+        found = [(b.text, b.label) for b in hx.classify(f"{nav}<p>{text}</p><p>spis tresci wykaz stron tabela dane liczby inne wpisy dalsze pozycje wykazu</p>")]
+        assert [label for _, label in found] == ["bad", "bad", "good", "bad"], found
+    long_notice = f"© {GOOD}"
+    assert [b.label for b in hx.classify(f"<p>{long_notice}</p>")] == ["good"]
+
+
 def _settle(labels):
     """The second pass looked up block by block."""
     out = []
