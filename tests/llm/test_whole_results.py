@@ -1,5 +1,6 @@
 """Rows and passages that an operator once left out."""
 
+import math
 import random
 from collections import Counter
 
@@ -167,6 +168,51 @@ def test_a_small_share_of_a_long_document_is_found(spark):
     assert 0.005 < shares[0][model.names.index("fr")] < 0.02
 
 
+def _plain_em(odds, allowed):
+    """(shares, log-likelihood) of a mixture over some components, in plain floats to the end."""
+    share = {k: 1 / len(allowed) for k in allowed}
+    for _ in range(20_000):
+        new = dict.fromkeys(allowed, 0.0)
+        for word in odds:
+            total = sum(share[k] * word[k] for k in allowed)
+            for k in allowed:
+                new[k] += share[k] * word[k] / total / len(odds)
+        done = max(abs(new[k] - share[k]) for k in allowed) < 1e-9
+        share = new
+        if done:
+            break
+    return share, sum(math.log(sum(share[k] * word[k] for k in allowed)) for word in odds)
+
+
+def test_mixtures_match_brute_force(spark):
+    """Shares and language sets against plain expectation-maximisation over every set size."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars between 200 and 900").orderBy("doc_id").collect()
+    model = li.train([(r.lang, r.text) for r in rows[:150]])
+    rng = random.Random(3)
+    words = [r.text.split() for r in rows[150:400]]
+    texts = [" ".join(w for part in rng.sample(words, rng.randrange(1, 4)) for w in part[: rng.randrange(1, 40)]) for _ in range(25)]
+    shares, counts = li.infer(model, pa.array(texts))
+    for text, got, n in zip(texts, shares, counts):
+        slots, begin, _ = li.gram_slots(pa.array([text]))
+        logs = [model.logs[slots[a:b]].astype(float).sum(axis=0) for a, b in zip(begin, [*begin[1:], len(slots)])]
+        top = [x.max() for x in logs]
+        odds = [[math.exp(v - t) for v in x] for x, t in zip(logs, top)]
+        full, _ = _plain_em(odds, list(range(len(model.names))))
+        order = sorted(full, key=lambda k: (-full[k], k))
+        best = max(((fit - 0.5 * math.log(max(n, 2)) * (2 * size - 1), share) for size in range(1, len(order) + 1) for share, fit in [_plain_em(odds, order[:size])]), key=lambda x: x[0])
+        assert max(abs(got[k] - best[1].get(k, 0.0)) for k in range(len(model.names))) < 0.01
+        assert {k for k in range(len(got)) if got[k] > 0} == set(best[1])
+
+
+def test_training_rows_do_not_hang_on_ids(spark):
+    """Rows that share an id, or have none, and rows that are repeated all leave their label a sample."""
+    rows = [(None, f"text number {i} of it", "nameless") for i in range(600)] + [(i % 3, f"words {i} and more", "three") for i in range(600)] + [(7, "always the same", "copies")] * 600 + [(8, None, "null"), (9, "seldom", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = li.training_sample(docs, 10)
+    assert Counter(label for label, _ in sample) == {"nameless": 10, "three": 10, "copies": 1, "rare": 1} and len(set(sample)) == len(sample)
+    assert {label for label, _ in li.training_sample(docs, 10, labels=2)} == {"copies", "nameless"}
+
+
 def test_sets_that_are_left_out_would_lose(spark, monkeypatch):
     rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(300).collect()
     texts = pa.array([r.text for r in rows] + ["", None, "x", "der the la"])

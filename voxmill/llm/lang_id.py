@@ -1,10 +1,13 @@
 """Language identification as multilingual mixture inference.
 
 Each language has a model of hashed byte 4-grams of its lower-cased words, trained on a
-bounded sample of labelled documents (``TRAIN_ROWS`` a language, chosen by hash of the
-document). A further component, ``noise``, gives every 4-gram the same likelihood. A
-document is a mixture: each of its words is drawn from one component, and expectation-
-maximisation over all its words estimates the proportions. The language set is the one
+bounded sample of labelled documents: ``TRAIN_ROWS`` distinct ones a language, thinned by hash
+of doc_id and text and then taken by hash of doc_id, of the ``TRAIN_LABELS`` most frequent languages. A further component,
+``noise``, gives every 4-gram the same likelihood. A document is a mixture: each of its
+words is drawn from one component, and expectation-maximisation over all its words
+estimates the proportions. It goes on until no mixture of the same components can be
+likelier by more than ``TOLERANCE`` nats (and a millionth of a nat a word), which a bound on the likelihood tells, or for
+``MOST_ROUNDS`` rounds. The language set is the one
 of best penalised likelihood (BIC) among the sets of the k most present components,
 k = 1, 2, ...; the proportions are then those of the mixture over that set alone. Sets
 are left out only where a bound on the likelihood of any mixture shows that they lose.
@@ -13,7 +16,8 @@ Defined cases: a document is rejected where it has no word (null and empty texts
 included) or where noise makes up more than ``MAX_NOISE`` of the chosen mixture; all
 others are accepted. Rows are judged one by one, so repeated rows repeat their result.
 Ties go to the component first in name. A null doc_id is passed on. Labels that are
-null don't train; without any label every document with a word is accepted as ``und``.
+null don't train, nor do null texts; rows that repeat a doc_id and text train once, whatever
+ids they share; without any label every document with a word is accepted as ``und``.
 Other columns play no part, whatever their names.
 """
 
@@ -31,11 +35,13 @@ from . import textvec
 from .runtime import ranges
 
 TRAIN_ROWS = 400
+TRAIN_LABELS = 200
 GRAM = 4
 SLOTS = 1 << 16
 SMOOTHING = 0.05
 MAX_NOISE = 0.9
-ROUNDS = 12
+TOLERANCE = 0.01
+MOST_ROUNDS = 1000
 NOISE = "noise"
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
@@ -88,21 +94,25 @@ def train(sample: list[tuple[str, str]]) -> Model:
     return Model(names, counts)
 
 
-def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled documents a language, those of least hash.
+def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, labels: int = TRAIN_LABELS) -> list[tuple[str, str]]:
+    """At most ``rows`` distinct labelled documents a language.
 
-    A first filter on the hash leaves about three times as many, so that the window
-    that makes the bound exact sorts a bounded number of texts at any size of table.
+    A first filter on the hash of doc_id and text leaves about three times as many, whatever
+    ids the rows share, so that the window that makes the bound exact, by the hash of
+    doc_id, sorts a bounded number of texts at any size of table. Of
+    more than ``labels`` languages, the most frequent ones train.
     """
-    named = docs.select(F.col("lang").cast("string").alias("label"), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("label is not null")
-    sizes = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    named = docs.select(F.col("lang").cast("string").alias("label"), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("label is not null and text is not null")
+    hashed = named.withColumn("hash", F.xxhash64("doc", "text", F.lit(17)))
+    sizes = hashed.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("hash", 0.02).alias("d")).orderBy(F.desc("n"), "label").limit(labels).collect()
     if not sizes:
         return []
     scale = 1 << 30
-    limit = F.create_map(*[x for label, n in sizes.items() for x in (F.lit(label), F.lit(scale if n <= 3 * rows else scale * 3 * rows // n))])
-    hashed = named.withColumn("order", F.pmod(F.xxhash64("doc", F.lit(17)), F.lit(scale)))
-    thin = hashed.filter(F.col("order") < limit[F.col("label")]).filter("text is not null")
-    ranked = thin.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("order", F.xxhash64("text"))))
+    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["label"]), F.lit(scale if r["d"] <= 3 * rows else scale * 3 * rows // r["d"]))])
+    thin = hashed.filter(F.pmod("hash", F.lit(scale)) < limit[F.col("label")])
+    distinct = thin.groupBy("label", "hash").agg(F.min("doc").alias("doc"), F.min("text").alias("text"))
+    order = F.pmod(F.xxhash64("doc", F.lit(17)), F.lit(scale))
+    ranked = distinct.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(order, F.xxhash64("text"))))
     return sorted((r["label"], r["text"]) for r in ranked.filter(F.col("place") <= rows).select("label", "text").collect())
 
 
@@ -116,19 +126,44 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mix(odds: np.ndarray, base: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions by document over its allowed components, and the log-likelihoods."""
+def _mix(odds: np.ndarray, base: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions by document over its allowed components, and the log-likelihoods.
+
+    By Jensen's inequality a document of n words gains at most n log(largest factor by
+    which the next round raises a proportion); documents that gain little are done.
+    """
     words = np.diff(first)
     share = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
-    for _ in range(rounds):
-        joint = odds * np.repeat(share.astype(np.float32), words, axis=0)
+    active = np.flatnonzero((allowed.sum(axis=1) > 1) & (words > 0))
+    part, cuts, counts = odds, first, words
+    if len(active) < len(words):
+        part, cuts, counts = _rows(odds, first, active)
+    live = np.ones(len(active), bool)
+    for _ in range(MOST_ROUNDS):
+        if not live.any():
+            break
+        old = share[active]
+        joint = part * np.repeat(old.astype(np.float32), counts, axis=0)
         joint /= np.maximum(joint.sum(axis=1, keepdims=True), 1e-30)
-        share = _sums(joint, first) / np.maximum(words, 1)[:, None]
+        new = _sums(joint, cuts) / counts[:, None]
+        # a document stops by itself, so its shares do not hang on its neighbours
+        share[active[live]] = new[live]
+        gain = counts * np.log((new / np.where(old > 1e-30, old, np.inf)).max(axis=1))
+        live &= gain > TOLERANCE + 1e-6 * counts
+        if counts[live].sum() < 0.8 * len(part):
+            part, cuts, counts = _rows(part, cuts, np.flatnonzero(live))
+            active, live = active[live], np.ones(int(live.sum()), bool)
     joint = (odds * np.repeat(share.astype(np.float32), words, axis=0)).sum(axis=1)
     fit = _sums((np.log(np.maximum(joint, 1e-30)) + base)[:, None], first)[:, 0]
     return share, fit
 
 
+def _rows(odds: np.ndarray, first: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some documents, where they begin, and how many each has."""
+    words = np.diff(first)[some]
+    return odds[ranges(first[:-1][some], words)], np.concatenate(([0], np.cumsum(words))), words
+
+
 def _most(odds: np.ndarray, first: np.ndarray, share: np.ndarray, fit: np.ndarray) -> np.ndarray:
     """What the log-likelihood of no mixture of a document exceeds, given one of them.
 
@@ -165,7 +200,7 @@ def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         base = logs.max(axis=1)
         odds = np.exp(logs - base[:, None])
         base = base.astype(np.float64)
-        share, fit = _mix(odds, base, first, np.ones((n, k)), ROUNDS)
+        share, fit = _mix(odds, base, first, np.ones((n, k)))
         order = np.argsort(-share, axis=1, kind="stable")
         places = np.empty_like(order)
         np.put_along_axis(places, order, np.arange(k)[None, :].repeat(n, axis=0), axis=1)
@@ -180,7 +215,7 @@ def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             words = np.diff(first)[some]
             rows = ranges(first[:-1][some], words)
             local = np.concatenate(([0], np.cumsum(words)))
-            tried, got = _mix(odds[rows], base[rows], local, (places[some] < size).astype(np.float64), ROUNDS if size > 1 else 1)
+            tried, got = _mix(odds[rows], base[rows], local, (places[some] < size).astype(np.float64))
             got = got - price[some] * (2 * size - 1)
             better = got > best_fit[some]
             best_fit[some[better]] = got[better]
