@@ -73,6 +73,61 @@ def test_grant_without_its_rarest_words_is_found():
     assert [(name, round(share * 27)) for _, name, share, _, _ in found] == [("MIT", 27), ("MIT", 24)]
 
 
+def _common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for k, y in enumerate(b):
+            row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+    return row[-1]
+
+
+def test_notices_with_words_put_in_and_left_out_are_found():
+    """Against the longest common subsequence, at random places of a text, as sparse as DENSITY allows."""
+    rng = random.Random(12)
+    for _ in range(150):
+        template = [f"t{k}" for k in range(rng.randrange(6, 40))]
+        scanner = lic.Scanner([("L", " ".join(template))])
+        text, want = [], []
+        for _ in range(rng.randrange(1, 4)):
+            text += [f"f{rng.randrange(30)}" for _ in range(80)]
+            keep = sorted(rng.sample(range(len(template)), rng.randrange(int(scanner.needed[0]), len(template) + 1)))
+            strays = rng.randrange(0, max(1, int(len(keep) / lic.DENSITY) - len(keep)))
+            notice = [template[k] for k in keep]
+            for _ in range(strays):
+                notice.insert(rng.randrange(1, len(notice)), "stray")
+            assert _common(notice, template) == len(keep)
+            want.append((len(text), len(text) + len(notice), len(keep)))
+            text += notice
+        text += ["f"] * 80
+        got = [(start, end, round(share * len(template))) for _, _, share, start, end in scanner.scan(pa.array([" ".join(text)]))]
+        assert got == want
+
+
+def test_whole_license_texts_are_found_as_such():
+    rng = random.Random(4)
+    scanner = lic.Scanner(lic.LICENSES)
+    for name, text in lic.TEXTS:
+        words = text.split()
+        for lost in (0, len(words) // 12):
+            gone = set(rng.sample(range(1, len(words) - 1), lost))
+            altered = " ".join("changed" if k in gone else w for k, w in enumerate(words))
+            page = f"Copyright someone. {altered} {'def f x return x ' * 50} {altered}"
+            found = [f for f in scanner.scan(pa.array([page])) if f[4] - f[3] > 0.7 * len(words)]
+            assert [f[1] for f in found] == [name] * 2, (name, lost, found)
+
+
+def test_templates_of_a_folder(tmp_path):
+    (tmp_path / "B.txt").write_text("one two three four five six")
+    (tmp_path / "A-2.0").write_text("seven eight nine ten eleven twelve")
+    templates = lic.read_templates(str(tmp_path))
+    assert [name for name, _ in templates] == ["A-2.0", "B"]
+    found = list(lic.Scanner([*templates, ("empty", "")]).scan(pa.array(["x seven eight nine ten eleven twelve y one two three four five six", "", None])))
+    assert [(row, name, start, end) for row, name, _, start, end in found] == [(0, "A-2.0", 1, 7), (0, "B", 8, 14)]
+
+
 # -- decontamination -----------------------------------------------------------------------
 
 

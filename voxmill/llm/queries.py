@@ -48,7 +48,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.NOTICES)
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.LICENSES)
 
 
 #: A word as textvec has it, for lower-cased text.
