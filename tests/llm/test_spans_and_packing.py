@@ -1,6 +1,7 @@
 """Repeated passages, packing and the pipeline against brute force."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -161,6 +162,43 @@ def test_search_improves_on_best_fit():
     assert len(packing.bin_completion(wide, 2048, 50)) <= len(packing.best_fit_decreasing(wide, 2048))
 
 
+@given(st.lists(st.integers(1, 14), min_size=1, max_size=8), st.integers(0, 30))
+@settings(max_examples=200, deadline=None)
+def test_fillings_are_all_undominated_ones_least_waste_first(pieces, room):
+    counts = Counter(pieces)
+    values = sorted(counts, reverse=True)
+    every = [()]
+    for v in values:
+        every = [(*f, *(v,) * n) for f in every for n in range(counts[v] + 1) if sum(f) + v * n <= room]
+
+    def dominated(f):
+        left, used = room - sum(f), Counter(f)
+        return any(counts[v] > used[v] and low < v <= low + left for low in (0, *used) for v in values)
+
+    want = {f for f in every if not dominated(f)}
+    got = list(packing.fillings(values, counts, room))
+    assert len(got) == len(set(got) - {None}) + got.count(None) and set(got) - {None} == want
+    waste = [room - sum(f) for f in got if f is not None]
+    assert waste == sorted(waste) and got[0] is not None
+
+
+def test_search_settles_whole_groups():
+    """Groups of production size that best-fit leaves above the bound."""
+    rng = random.Random(1)
+    for low, high in ((100, 500), (90, 480)):
+        sizes = sorted((rng.randrange(low, high) for _ in range(packing.GROUP)), reverse=True)
+        bound = packing.lower_bound(sizes, packing.CAPACITY)
+        bins, looked = packing.search(sizes, packing.CAPACITY)
+        assert len(packing.best_fit_decreasing(sizes, packing.CAPACITY)) > bound == len(bins) and 0 < looked < packing.NODES
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in b) <= packing.CAPACITY for b in bins)
+    sizes = sorted((rng.randrange(500, 900) for _ in range(packing.GROUP)), reverse=True)
+    began = time.process_time()
+    bins, looked = packing.search(sizes, packing.CAPACITY)
+    assert looked >= packing.NODES and len(bins) <= len(packing.best_fit_decreasing(sizes, packing.CAPACITY))
+    assert time.process_time() - began < 30
+
+
 def _check_packing(packed, lengths, capacity):
     pieces = defaultdict(list)
     sequences = defaultdict(list)

@@ -10,9 +10,9 @@ than the lower bound, a branch-and-bound search tries to do better: the largest
 left is put into a sequence, the undominated fillings of the room beside it are
 enumerated in the order of least waste, and each is completed in turn. A branch is cut
 when the waste so far shows that it cannot beat the incumbent. A filling is dominated
-where one piece of it can be exchanged for a larger one that still fits. The search
-looks at ``NODES`` nodes at most, each with the best of ``FILLINGS`` maximal fillings; what
-it has not settled by then keeps its incumbent, a complete packing of every piece.
+where one piece of it can be exchanged for a larger one that still fits. No filling is
+left out, but the search looks at ``NODES`` of them at most; what it has not settled by then
+keeps its incumbent, a complete packing of every piece.
 
 Defined cases: a null text or one without a word has length 0 and is placed, with
 length 0, in a sequence; ties in length go by doc_id, nulls last, then by place in the
@@ -23,16 +23,21 @@ names; an empty table gives an empty result.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import partitions
+
 CAPACITY = 2048
 GROUP = 2048
-NODES = 4_000
-FILLINGS = 400
+NODES = 20_000
+FIRST = 8
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
@@ -68,77 +73,83 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(values: list[int], counts: dict[int, int], room: int, limit: int = FILLINGS) -> list[tuple[int, ...]]:
+def fillings(values: list[int], counts: dict[int, int], room: int) -> Iterator[tuple[int, ...] | None]:
     """Undominated multisets of ``values`` (falling, by counts) that fit ``room``, least waste first.
 
-    A filling is kept where no piece left out fits its remaining room and none can
-    replace a smaller one of it. Enumeration is depth-first, larger pieces first, over
-    the first ``limit`` maximal fillings.
+    Sums that the values from a place on can reach are kept as bits, so only fillings of
+    the waste at hand are gone through. A filling is dominated where a piece left out fits its
+    remaining room, or can replace a smaller one of it; None stands for it. Those of the
+    least waste never are.
     """
-    found: list[tuple[int, ...]] = []
-    chosen: list[int] = []
-    looked = 0
+    values = [v for v in values if v <= room and counts[v]]
+    mask = (1 << room + 1) - 1
+    reach = [1] * (len(values) + 1)
+    for i in range(len(values) - 1, -1, -1):
+        sums, v, n, step = reach[i + 1], values[i], min(counts[values[i]], room // values[i]), 1
+        while n:
+            step = min(step, n)
+            sums |= sums << v * step & mask
+            n -= step
+            step *= 2
+        reach[i] = sums
     rising = values[::-1]
 
-    def undominated(left: int) -> bool:
-        if not left:
-            return True
-        used = {v: chosen.count(v) for v in chosen}
+    def undominated(chosen: tuple[int, ...], left: int) -> bool:
+        used = Counter(chosen)
         for low in (0, *used):
-            at = bisect_right(rising, low)
-            while at < len(rising) and rising[at] <= low + left:
-                if counts[rising[at]] > used.get(rising[at], 0):
+            for v in rising[bisect_right(rising, low) : bisect_right(rising, low + left)]:
+                if counts[v] > used[v]:
                     return False
-                at += 1
         return True
 
-    def go(at: int, left: int) -> None:
-        nonlocal looked
-        if at < len(values) and values[at] > left:
-            at = len(rising) - bisect_right(rising, left)
-        if at == len(values) or not left:
-            looked += 1
-            if undominated(left):
-                found.append(tuple(chosen))
-            return
-        v = values[at]
-        for n in range(min(counts[v], left // v), -1, -1):
-            if looked >= limit:
-                return
-            chosen.extend([v] * n)
-            go(at + 1, left - n * v)
-            del chosen[len(chosen) - n :]
-
-    go(0, room)
-    return sorted(found, key=lambda f: (room - sum(f), tuple(-v for v in f)))
+    def filled(target: int) -> Iterator[tuple[int, ...]]:
+        """All multisets of this sum; every branch that is entered has one."""
+        todo: list[tuple[int, int, tuple[int, ...]]] = [(0, target, ())]
+        while todo:
+            at, left, chosen = todo.pop()
+            if not left:
+                yield chosen
+                continue
+            while values[at] > left or not reach[at] >> left & 1:
+                at += 1
+            v = values[at]
+            for n in range(min(counts[v], left // v) + 1):
+                if reach[at + 1] >> left - n * v & 1:
+                    todo.append((at + 1, left - n * v, (*chosen, *(v,) * n)))
 
+    least = room + 1 - reach[0].bit_length()
+    for waste in range(least, room + 1):
+        if reach[0] >> room - waste & 1:
+            for chosen in filled(room - waste):
+                yield chosen if waste == least or undominated(chosen, waste) else None
 
-def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins of places in ``sizes`` (positive, falling, none over capacity)."""
+
+def search(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple[list[list[int]], int]:
+    """Bins of places in ``sizes`` (positive, falling, none over capacity), and the fillings looked at."""
     best = best_fit_decreasing(sizes, capacity)
     bound = lower_bound(sizes, capacity)
     if len(best) <= bound:
-        return best
-    counts: dict[int, int] = {}
-    for s in sizes:
-        counts[s] = counts.get(s, 0) + 1
+        return best, 0
+    counts = dict(Counter(sizes))
     total = sum(sizes)
     best_values: list[tuple[int, ...]] | None = None
     best_n = len(best)
     seen = 0
-    # explicit stack: each level holds its remaining fillings and the one in use
+    # explicit stack: each level holds its remaining fillings, the one in use, and how to go on
     levels: list[list] = []
     values = sorted(counts, reverse=True)
     waste = 0
     left = len(sizes)
 
-    def open_level() -> list:
+    def open_level(skip: int = 0, more: int = FIRST) -> list:
+        """The next ``more`` fillings beside the largest piece; they are found anew, since few levels need more than the first."""
+        nonlocal seen
         largest = next(v for v in values if counts[v])
         counts[largest] -= 1
-        free = [v for v in values if counts[v]]
-        options = [(largest, *f) for f in fillings(free, counts, capacity - largest)]
+        found = list(islice(fillings(values, counts, capacity - largest), skip, skip + more))
         counts[largest] += 1
-        return [iter(options), None]
+        seen += len(found)
+        return [iter([(largest, *f) for f in found if f is not None]), None, skip + more if len(found) == more else 0, more]
 
     levels.append(open_level())
     while levels and seen < nodes and best_n > bound:
@@ -151,12 +162,15 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[
             level[1] = None
         option = next(level[0], None)
         if option is None:
-            levels.pop()
+            if level[2]:
+                levels[-1] = open_level(level[2], level[3] * 8)
+            else:
+                levels.pop()
             continue
-        seen += 1
         spare = capacity - sum(option)
-        # total + waste of all bins must fit the incumbent less one bin
+        # total + waste of all bins must fit the incumbent less one bin; later fillings waste no less
         if total + waste + spare > (best_n - 1) * capacity and left > len(option):
+            level[0], level[2] = iter(()), 0
             continue
         for v in option:
             counts[v] -= 1
@@ -171,11 +185,15 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[
         if len(levels) + 1 < best_n:
             levels.append(open_level())
     if best_values is None:
-        return best
+        return best, seen
     places: dict[int, list[int]] = {}
     for i in range(len(sizes) - 1, -1, -1):
         places.setdefault(sizes[i], []).append(i)
-    return [[places[v].pop() for v in values] for values in best_values]
+    return [[places[v].pop() for v in values] for values in best_values], seen
+
+
+def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+    return search(sizes, capacity, nodes)[0]
 
 
 def pack_group(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +232,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP
     )
     rest = cut.filter(F.col("n_words") < capacity)
     groups = max(1, round(docs.count() / group))
+    # a number is asked for, so that small shuffles are not coalesced to few tasks of many groups
+    tasks = min(groups, partitions(docs.sparkSession, 4))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], na_position="last", kind="stable", ignore_index=True)
@@ -222,5 +242,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP
         return pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "n_words": pdf["n_words"], "sequence": [f"{name}-{b}" for b in bins], "position": offsets})
 
     grouped = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(groups)))
-    packed = grouped.groupBy("grp").applyInPandas(run, "doc_id long, piece long, n_words long, sequence string, position long")
+    packed = grouped.repartition(tasks, "grp").groupBy("grp").applyInPandas(run, "doc_id long, piece long, n_words long, sequence string, position long")
     return full.unionByName(packed)
