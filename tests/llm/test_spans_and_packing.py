@@ -123,6 +123,62 @@ def test_super_kmers_hold_every_window_once(texts, k):
     assert got == want
 
 
+def _bucket(rows, k):
+    """A bucket of all super-k-mers of (doc, text) rows, as one shuffle partition holds them."""
+    ids, texts = pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())
+    batches = [pa.RecordBatch.from_arrays([ids.slice(i, 50), texts.slice(i, 50)], names=["doc_id", "text"]) for i in range(0, len(rows), 50)]
+    return superkmers.Bucket(superkmers._post(k, 1)(iter(batches)))
+
+
+def _chain_windows(found):
+    return Counter((d, p + i, c) for d, p, n, c in zip(found.doc.tolist(), found.pos.tolist(), found.length.tolist(), found.copies.tolist()) for i in range(n))
+
+
+@pytest.mark.parametrize("bits", [64, 3, 0])
+def test_chains_are_exact_whatever_the_hashes(passages, monkeypatch, bits):
+    """Hashes of few bits collide all the time; words decide."""
+    plain = tv.range_hash
+    monkeypatch.setattr(tv, "range_hash", lambda values, begin, end: plain(values, begin, end) & np.uint64((1 << bits) - 1))
+    monkeypatch.setattr(superkmers, "FLUSH", 2000)
+    rows = [(d, t) for d, t in passages if d is not None and t is not None]
+    bucket = _bucket(rows, K)
+    count = bucket.strings.count
+    words = np.unique(bucket.words, return_inverse=True)[1]
+    room = np.repeat(bucket.at + count, count) - np.arange(len(words))
+    monkeypatch.undo()
+    want = Counter((d, p, len(places)) for places in _windows(rows, K) for d, p in places)
+    for same in (tv.window_hash(bucket.words, K)[bucket.windows(K)], suf.bucket_pointers(words, room, K)[bucket.windows(K)]):
+        assert _chain_windows(superkmers.chains(bucket, same, K)) == want
+
+
+def test_a_passage_of_all_documents_is_held_once(monkeypatch):
+    """The bucket's text does not grow with the copies, nor do the chains with the windows."""
+    shared = " ".join(f"boiler{k}" for k in range(300))
+    sizes = []
+    for n in (100, 1000):
+        rows = [(i, f"{' '.join(f'own{i}x{k}' for k in range(60))} {shared}") for i in range(n)]
+        monkeypatch.setattr(superkmers, "HELD", 1 << 16)
+        bucket = _bucket(rows, 50)
+        inside = bucket.strings.count[np.bincount(bucket.strings.of) > 1].sum()
+        found = superkmers.chains(bucket, tv.window_hash(bucket.words, 50)[bucket.windows(50)], 50)
+        assert set(found.copies.tolist()) == {n} and _chain_windows(found).total() == n * 251
+        sizes.append((inside, len(found.doc) / n))
+    assert sizes[0] == sizes[1] and sizes[0][1] < 30
+
+
+def test_very_long_texts_have_few_super_kmers(spark):
+    """A text of one word, and one that repeats a page, of hundreds of thousands of words."""
+    page = [f"w{k}" for k in range(500)]
+    rows = [(1, "go " * 300_000), (2, " ".join(page * 400)), (3, " ".join(page)), (4, "x " * 49)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {tuple(r) for r in sub.repeated_spans(docs).collect()}
+    assert (1, 0, 50, 299_951, 1, True) in spans and (1, 1, 300_000, 299_951, 1, False) in spans
+    assert {s for s in spans if s[0] in (2, 3)} == {(2, 0, 549, 401, 2, True), (2, 500, 200_000, 401, 2, False), (3, 0, 500, 401, 2, False)}
+    found = {tuple(r) for r in suf.repeated_suffixes(docs).collect()}
+    assert {f for f in found if f[0] != 2} == {(1, 1, 300_000, 1, 0), (3, 0, 500, 2, 199_500)} | {f for f in found if f[0] == 3}
+    assert (2, 500, 200_000, 2, 0) in found
+
+
 # -- packing ----------------------------------------------------------------------------------------
 
 

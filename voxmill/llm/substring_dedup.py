@@ -1,8 +1,8 @@
 """Substring deduplication by counting word windows in super-k-mer buckets.
 
 Every window of ``WINDOW`` words of every document is counted: its super-k-mer brings it to
-the bucket of its minimiser, where sorting puts equal windows next to each other. Windows
-are compared by 128 bits of hash of their words, lower-cased and without punctuation.
+the bucket of its minimiser, where sorting puts windows of equal hash next to each other;
+their words, lower-cased and without punctuation, are then compared.
 Windows that occur at two places or more are merged into spans, apart for the first place
 (least doc_id, then least position) and the later ones.
 
@@ -22,41 +22,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .runtime import split_runs
-from .superkmers import Bucket, bucketed, groups
+from .superkmers import Bucket, bucketed, chains
 
 WINDOW = 50
 
 
-def count_windows(bucket: Bucket, k: int) -> tuple[np.ndarray, ...]:
-    """Repeated windows of a bucket: doc, pos, place of the first equal one, copies."""
-    place, doc, pos = bucket.windows(k)
-    low = textvec.window_hash(bucket.low, k)[place]
-    high = textvec.window_hash(bucket.high, k)[place]
-    order = np.lexsort((high, low))
-    new = np.ones(len(order), bool)
-    new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-    same = np.empty(len(order), np.int64)
-    same[order] = np.cumsum(new)
-    return groups(same, doc, pos)
-
-
 def _spans(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket(batches)
         if bucket.empty:
             return
-        doc, pos, first, copies = count_windows(bucket, k)
-        kept, first_doc = first == np.arange(len(first)), doc[first]
-        order = np.lexsort((pos, doc, kept))
-        doc, pos, first_doc, copies, kept = doc[order], pos[order], first_doc[order], copies[order], kept[order]
+        found = chains(bucket, textvec.window_hash(bucket.words, k)[bucket.windows(k)], k)
+        kept, first_doc = found.first == np.arange(len(found.first)), found.doc[found.first]
+        order = np.lexsort((found.pos, found.doc, kept))
+        doc, pos, length, first_doc, copies, kept = (x[order] for x in (found.doc, found.pos, found.length, first_doc, found.copies, kept))
         new = np.ones(len(doc), bool)
-        new[1:] = (kept[1:] != kept[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
-        starts, sizes = split_runs(np.cumsum(new))
+        new[1:] = (kept[1:] != kept[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + length[:-1])
+        starts = np.flatnonzero(new)
         if not len(starts):
             return
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (doc[starts], pos[starts], pos[starts] + sizes - 1 + k, np.maximum.reduceat(copies, starts), np.minimum.reduceat(first_doc, starts), kept[starts])],
+            [pa.array(x) for x in (doc[starts], pos[starts], pos[starts] + np.add.reduceat(length, starts) - 1 + k, np.maximum.reduceat(copies, starts), np.minimum.reduceat(first_doc, starts), kept[starts])],
             names=["doc_id", "start_word", "end_word", "copies", "first_doc_id", "kept"],
         )
 

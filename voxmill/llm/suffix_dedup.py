@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import split_runs
-from .superkmers import Bucket, bucketed, groups
+from .superkmers import Bucket, bucketed, chains
 
 DEPTH = 50
 
@@ -72,35 +72,26 @@ def bucket_pointers(words: np.ndarray, room: np.ndarray, depth: int) -> np.ndarr
     return pointers
 
 
-def word_numbers(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Words numbered from 0 by their 128-bit hashes; one half decides unless it collides."""
-    _, first, words = np.unique(low, return_index=True, return_inverse=True)
-    if (high[first][words] == high).all():
-        return words
-    pairs = np.stack([low, high], axis=1).view([("low", "u8"), ("high", "u8")]).ravel()
-    return np.unique(pairs, return_inverse=True)[1]
-
-
 def _matches(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket(batches)
         if bucket.empty:
             return
-        words = word_numbers(bucket.low, bucket.high)
-        room = np.repeat(bucket.at + bucket.count, bucket.count) - np.arange(len(words))
-        place, doc, pos = bucket.windows(depth)
-        doc, pos, first, _ = groups(bucket_pointers(words, room, depth)[place], doc, pos)
-        later = np.flatnonzero(first != np.arange(len(first)))
-        doc, pos, source, shift = doc[later], pos[later], doc[later - 1], pos[later - 1] - pos[later]
+        count = bucket.strings.count
+        words = np.unique(bucket.words, return_inverse=True)[1]
+        room = np.repeat(bucket.at + count, count) - np.arange(len(words))
+        found = chains(bucket, bucket_pointers(words, room, depth)[bucket.windows(depth)], depth)
+        later = np.flatnonzero(found.first != np.arange(len(found.first)))
+        doc, pos, length, source, shift = found.doc[later], found.pos[later], found.length[later], found.doc[later - 1], found.pos[later - 1] - found.pos[later]
         order = np.lexsort((pos, shift, source, doc))
-        doc, pos, source, shift = doc[order], pos[order], source[order], shift[order]
+        doc, pos, length, source, shift = doc[order], pos[order], length[order], source[order], shift[order]
         new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (shift[1:] != shift[:-1]) | (pos[1:] != pos[:-1] + 1)
-        starts, sizes = split_runs(np.cumsum(new))
+        new[1:] = (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (shift[1:] != shift[:-1]) | (pos[1:] != pos[:-1] + length[:-1])
+        starts = np.flatnonzero(new)
         if not len(starts):
             return
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (doc[starts], pos[starts], pos[starts] + sizes - 1 + depth, source[starts], shift[starts])],
+            [pa.array(x) for x in (doc[starts], pos[starts], pos[starts] + np.add.reduceat(length, starts) - 1 + depth, source[starts], shift[starts])],
             names=["doc_id", "start_word", "end_word", "source_doc_id", "shift"],
         )
 
