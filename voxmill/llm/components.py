@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import cut
@@ -15,17 +15,21 @@ def _sum(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the least node of its component.
 
-    Each round is one shuffle for the large star and one for the small star, its result
-    written to the shared folder. The stars converge in O(log² n) rounds.
+    Each round has one large star and one small star, its result written to the shared
+    folder. The least neighbour of a node is a minimum combined before the shuffle, which is then
+    joined to the node's edges, so a node of very many edges is in no single task: adaptive
+    execution splits it. The stars converge in O(log² n) rounds.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = _sum(edges)
-    by_u = Window.partitionBy("u")
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(by_u), "u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.filter("u <> v").withColumn("m", F.min("v").over(by_u))
-        small = least.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # a node joins its least neighbour, and so do its other neighbours below it
+        down = cut(large.filter("u <> v").distinct())
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.filter("u <> v").distinct())
         after = _sum(edges)
         if after == before:

@@ -208,9 +208,11 @@ def near_groups(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Documents with one fingerprint are one node of the search, named by their least doc_id.
     """
     n = partitions(prints.sparkSession)
-    nodes = prints.withColumn("node", F.min("doc_id").over(Window.partitionBy("print")))
-    same = nodes.filter("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("node")).select("node", "print")
+    groups = prints.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
+    # minima are combined before the shuffle; only prints of several documents are joined back
+    many = groups.filter("n > 1").select("print", "node")
+    same = prints.join(many, "print").filter("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    distinct = groups.select("node", "print")
     near = exchange(distinct.mapInArrow(_post(n), BLOCKS), n).mapInArrow(_match(max_bits), "a long, b long")
     return components(same.unionByName(near)).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_doc_id"))
 
