@@ -68,8 +68,8 @@ def agg_07_floor_percentiles(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def agg_08_linear_percentiles(t: Tables) -> DataFrame:
-    out = t.events.groupBy("event_type").agg(*aggregates.linear_percentiles("value", (0.5, 0.95), ("p50", "p95")))
-    return out.withColumns({c: F.round(c, 6) for c in ("p50", "p95")})
+    out = aggregates.percentile_columns(t.events, {"v": F.col("value")}, (0.5, 0.95), ["event_type"])
+    return out.select("event_type", F.round("v_p50", 6).alias("p50"), F.round("v_p95", 6).alias("p95"))
 
 
 @query(

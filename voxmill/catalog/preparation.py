@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scores
 from ..functions.text import fingerprint
@@ -213,16 +209,6 @@ def prj_02_pair_to_record(t: Tables) -> DataFrame:
     return rows.select("doc_id", projections.pair_record_reason(F.col("c"), F.col("r"), F.col("utt"), F.col("txt"), 40).alias("reason"))
 
 
-@query("SELECT o_orderkey, printf('%.6f', o_totalprice) AS price, '' AS blank FROM orders")
-def snk_02_fixed_point_text(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", projections.fixed_point(F.col("o_totalprice")).alias("price"), projections.fixed_point(F.lit(None).cast("double")).alias("blank"))
-
-
-@query("SELECT count(*) AS rows, count(DISTINCT lang) AS langs, sum(n_chars)::BIGINT AS chars, min(n_chars) AS shortest, max(n_chars) AS longest FROM documents")
-def snk_04_summary_counters(t: Tables) -> DataFrame:
-    return t.documents.agg(F.count("*").alias("rows"), F.countDistinct("lang").alias("langs"), F.sum("n_chars").alias("chars"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
-
-
 @query(
     """SELECT count(*) AS checked, count(*) FILTER (n_chars >= 100) AS valid, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean,
     array_to_string(list_slice(list(doc_id ORDER BY doc_id) FILTER (n_chars < 100), 1, 5), ',') AS bad_examples FROM documents"""
@@ -318,13 +304,6 @@ def win_11_static_batch(t: Tables) -> DataFrame:
     return windows.static_batches(t.documents.select("doc_id"), [F.col("doc_id")], 32).select("doc_id", F.col("batch").cast("long"))
 
 
-@query()
-def win_12_dynamic_batch(t: Tables) -> DataFrame:
-    """Greedy padded batches within length buckets; held against a fold in the tests."""
-    rows = windows.length_buckets(t.documents.select("doc_id", "n_chars"), [F.col("doc_id")], "n_chars", 500)
-    return windows.padded_batches(rows, "bucket", ["place"], "n_chars", 60_000)
-
-
 @query("SELECT doc_id, CASE WHEN r > n - 50 THEN 'cv' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents)")
 def win_14_tail_split(t: Tables) -> DataFrame:
     return windows.split_ends(t.documents.select("doc_id"), [F.col("doc_id")], 50)
@@ -434,16 +413,6 @@ def src_04_inference_fanout(t: Tables) -> DataFrame:
     return readers.with_texts(t.conversations.filter("role = 'user'").select("conv_id", "turn"), texts, "conv_id").withColumn("tts_index", F.col("tts_index").cast("long"))
 
 
-@query("SELECT s_suppkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier) WHERE i % 8 = 3")
-def src_06_shard_assignment(t: Tables) -> DataFrame:
-    return readers.shard_for(t.supplier.select("s_suppkey"), [F.col("s_suppkey")], 3, 8)
-
-
-@query("SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
-def src_12_last_row_wins(t: Tables) -> DataFrame:
-    return windows.latest(t.events, ["user_id"], [F.col("event_id")]).select("user_id", "value")
-
-
 @query("SELECT split_part(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ', 1) AS key, count(*) AS n FROM benchmark GROUP BY 1")
 def src_13_keyed_lines(t: Tables) -> DataFrame:
     return readers.keyed_lines(t.benchmark.select(F.col("text").alias("value"))).groupBy("key").agg(F.count("*").alias("n"))
@@ -485,20 +454,6 @@ def agg_04_regroup_flat_rows(t: Tables) -> DataFrame:
     return groups.select("group_id", "group_size", F.posexplode("items").alias("new_rank", "i")).select("group_id", "group_size", F.col("new_rank").cast("long"), "i.doc_id")
 
 
-@query("SELECT c_nationkey AS key, c_name AS value FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS r FROM customer) WHERE r = 1")
-def src_02_merge_later_wins(t: Tables) -> DataFrame:
-    """Dictionaries of a sequence of files merged: the last writer of a key wins."""
-    pairs = t.customer.select(F.col("c_custkey").alias("seq"), F.col("c_nationkey").alias("key"), F.col("c_name").alias("value"))
-    return windows.latest(pairs, ["key"], [F.col("seq")]).select("key", "value")
-
-
-@query("SELECT count(*) AS rows, 1 AS files FROM orders")
-def src_05_src_07_scan_with_file(t: Tables) -> DataFrame:
-    """A parquet scan with the file of each row as metadata."""
-    rows = t.orders.select("o_orderkey", F.col("_metadata.file_path").alias("file"))
-    return rows.agg(F.count("*").alias("rows"), F.countDistinct("file").cast("int").alias("files"))
-
-
 @query("SELECT doc_id, lang, n_chars // 10 AS tens FROM (SELECT *, row_number() OVER (PARTITION BY lang, n_chars ORDER BY doc_id) AS r FROM documents WHERE n_chars > 500) WHERE r = 1")
 def src_08_udf_01_udf_02_pipeline_from_spec(t: Tables) -> DataFrame:
     """Stages named in a spec, folded over the source, with an option overridden."""
@@ -514,27 +469,3 @@ def str_07_resume(t: Tables) -> DataFrame:
     """Only groups that are not in the output yet are processed."""
     done = t.documents.filter("doc_id < 8").select("source")
     return incremental.resume(t.documents, done, "source", lambda df: df.groupBy("source").agg(F.min("doc_id").alias("best")))
-
-
-@query("SELECT doc_id, len(string_split(text, ' ')) AS tokens FROM documents")
-def udf_03_tokenizer(t: Tables) -> DataFrame:
-    """A tokenizer as an iterator Arrow UDF, loaded once a worker; the default parts at blanks."""
-
-    @F.pandas_udf(T.LongType())
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.str.split(" ").str.len()
-
-    return t.documents.select("doc_id", count("text").alias("tokens"))
-
-
-@query("SELECT c_mktsegment AS grade, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY c_mktsegment")
-def snk_06_demultiplexed(t: Tables) -> DataFrame:
-    """What lands in each folder of a table partitioned by grade."""
-    return t.customer.groupBy(F.col("c_mktsegment").alias("grade")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
-
-
-@query("SELECT split, count(*) AS n, min(doc_id) AS first FROM (SELECT doc_id, CASE WHEN n_chars < 100 THEN 'bad' WHEN doc_id % 10 = 0 THEN 'cv' ELSE 'train' END AS split FROM documents) GROUP BY split")
-def snk_07_three_way_split(t: Tables) -> DataFrame:
-    split = F.when(F.col("n_chars") < 100, "bad").when(F.col("doc_id") % 10 == 0, "cv").otherwise("train")
-    return t.documents.groupBy(split.alias("split")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,6 +104,67 @@ def top_k_overlap(a: Column | str, b: Column | str, k: int) -> Column:
     return F.size(F.array_intersect(top_positions(a, k), top_positions(b, k))) / F.lit(float(k))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, where it is used more than once inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def log_sum_exp(x: Column) -> Column:
+    return let(F.array_max(x), lambda m: m + F.log(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - m))))
+
+
+def top_k_divergence(student: Column | str, teacher: Column | str, k: int, forward: bool = False, temperature: float = 1.0) -> Column:
+    """Distillation loss of a position: KL divergence over the k largest scores, times the squared temperature.
+
+    The reverse kind takes the student's largest and weighs by the student, the forward kind the teacher's.
+    Shares are normalised over these k. What is no number counts as 0.
+    """
+    own, other = (teacher, student) if forward else (student, teacher)
+
+    def at(support: Column, scored: Column | str) -> Column:
+        return F.transform(support, lambda i: F.get(col(scored), i).cast("double") / temperature)
+
+    both = let(top_positions(own, k), lambda support: F.struct(at(support, own).alias("p"), at(support, other).alias("q")))
+    summed = let(both, lambda x: F.struct(x["p"].alias("p"), x["q"].alias("q"), log_sum_exp(x["p"]).alias("a"), log_sum_exp(x["q"]).alias("b")))
+    terms = let(summed, lambda z: F.aggregate(F.zip_with(z["p"], z["q"], lambda x, y: F.exp(x - z["a"]) * (x - z["a"] - y + z["b"])), F.lit(0.0), lambda s, v: s + v))
+    return let(terms, lambda loss: F.when(F.isnan(loss) | (F.abs(loss) == float("inf")), 0.0).otherwise(loss) * temperature**2)
+
+
+def chunk_ends(n: Column | str, hop: int, lookahead: int, rate: int | None = None, most: int = 48) -> Column:
+    """STR-06: where the chunks of a stream of n tokens end, which goes out when hop and lookahead are there.
+
+    Without ``rate`` every hop is ``hop``; with it the hops after the first are rate, 2 rate, 4 rate, ... The last chunk
+    has what is left. No token, no chunk.
+    """
+    size = col(n).cast("long")
+    if rate is None:
+        full = F.greatest(F.floor((size - lookahead) / hop), F.lit(0))
+        ends = F.when(full > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(full, F.lit(1))), lambda i: i * hop)).otherwise(F.array().cast("array<bigint>"))
+    else:
+        ends = F.filter(F.array(*[F.lit(hop + rate * (2**i - 1)).cast("long") for i in range(most)]), lambda e: e + lookahead <= size)
+    return F.when(size <= 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.concat(ends, F.array(size))))
+
+
+def time_based_ends(arrivals: Sequence[float], hop: int, lookahead: int, rate: int, cost: float) -> list[int]:
+    """STR-06 by the clock: chunk ends where each chunk takes ``cost`` seconds and token i is there at ``arrivals[i]``.
+
+    A stream that is ahead of playback by over two chunk times takes all whole hops that wait, by over four one more.
+    """
+    ends, at, now, step = [], 0, 0.0, hop
+    for i, arrived in enumerate(arrivals, 1):
+        now = max(now, arrived)
+        while i - at >= step + lookahead:
+            now += cost
+            at += step
+            ends.append(at)
+            step = hop
+            if len(ends) > 1 and now > 0:
+                ahead = (at / rate - now) / (now / len(ends))
+                waiting = (i - at) // hop
+                step = hop * max(1, waiting + 1 if ahead > 4 else waiting if ahead > 2 else 1)
+    return [*ends, len(arrivals)] if arrivals else []
+
+
 def pad(a: Column | str, size: Column, value=0) -> Column:
     return F.concat(col(a), F.array_repeat(F.lit(value), F.greatest(size - F.size(col(a)), F.lit(0))))
 

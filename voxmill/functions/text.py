@@ -239,11 +239,17 @@ def english_number(n: int) -> str:
     return out
 
 
+def digits_in_words(digits: str) -> str:
+    """A run of digits as a number in words; digit by digit where it has over 15."""
+    digits = digits.lstrip("0") or "0"
+    return english_number(int(digits)) if len(digits) <= 15 else " ".join(_SMALL[int(d)] for d in digits)
+
+
 def spell_numbers(c: Column | str) -> Column:
     @F.pandas_udf(T.StringType())
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield s.map(lambda t: re.sub(r"[0-9]+", lambda m: english_number(int(m.group()[:4000])), t), na_action="ignore")
+            yield s.map(lambda t: re.sub(r"[0-9]+", lambda m: digits_in_words(m.group()), t), na_action="ignore")
 
     return F.when(col(c).rlike("[0-9]"), run(col(c))).otherwise(col(c))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,17 +42,17 @@ def majority(df: DataFrame, group: str, value: str, order: Sequence[Column]) ->
     Columns: group, unique_count, majority, majority_count, majority_ratio (of all rows). A group
     of nulls has the majority '' with 0 votes.
     """
-    w = Window.partitionBy(group)
-    ranked = df.select(group, F.col(value).alias("__v"), F.row_number().over(w.orderBy(*order)).alias("__p"), F.count("*").over(w).alias("__n"))
-    votes = ranked.groupBy(group, "__v").agg(F.count("*").alias("__c"), F.min("__p").alias("__f"), F.max("__n").alias("__n"))
+    # both steps combine before the shuffle, so no group's rows are sorted or meet in one task
+    votes = df.groupBy(group, F.col(value).alias("__v")).agg(F.count("*").alias("__c"), F.min(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])).alias("__f"))
     voting = F.col("__v").isNotNull()
-    best = F.max(F.when(voting, F.struct(F.col("__c"), -F.col("__f"), F.col("__v"))))
-    return votes.groupBy(group).agg(F.count(F.when(voting, 1)).alias("unique_count"), best.alias("__b"), F.max("__n").alias("__n")).select(
+    best = F.min(F.when(voting, F.struct((-F.col("__c")).alias("c"), F.col("__f").alias("f"), F.col("__v").alias("v"))))
+    found = votes.groupBy(group).agg(F.count(F.when(voting, 1)).alias("unique_count"), best.alias("__b"), F.sum("__c").alias("__n"))
+    return found.select(
         group,
         "unique_count",
-        F.coalesce(F.col("__b.__v"), F.lit("")).alias("majority"),
-        F.coalesce(F.col("__b.__c"), F.lit(0)).alias("majority_count"),
-        (F.coalesce(F.col("__b.__c"), F.lit(0)) / F.col("__n")).alias("majority_ratio"),
+        F.coalesce(F.col("__b.v"), F.lit("")).alias("majority"),
+        F.coalesce(-F.col("__b.c"), F.lit(0)).alias("majority_count"),
+        (F.coalesce(-F.col("__b.c"), F.lit(0)) / F.col("__n")).alias("majority_ratio"),
     )
 
 
@@ -79,16 +81,14 @@ def _at_ranks(df: DataFrame, value: str, by: Sequence[str], ranks: Column) -> Da
     """(by..., r, value) at the zero-based ranks that ``ranks`` gives for a group's size ``__n``.
 
     ``ranks`` is an array of structs with a field ``rank``. The values are sorted once by range
-    over the whole table; a group's ranks are offset by the sizes of the groups before it, so
-    neither a large group nor the table as a whole is ever in one task.
+    over the whole table and numbered; a group's ranks are counted from its least number, so
+    neither a large group nor the table or the groups as a whole are ever in one task.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("__n")) if by else rows.agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(F.lit(0)).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1) if by else None
-    start = F.coalesce(F.sum("__n").over(before), F.lit(0)) if by else F.lit(0)
-    wanted = sizes.withColumn("__s", start).select("__s", F.explode(ranks).alias("r")).filter(F.col("r.rank").isNotNull())
     sorted_rows = numbered(rows, [*(F.col(c) for c in by), F.col("__v")], "__rn")
-    return sorted_rows.join(wanted, F.col("__rn") == F.col("__s") + F.col("r.rank") + 1).select(*by, "r", F.col("__v").alias("value"))
+    sizes = sorted_rows.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__rn").alias("__s"))
+    wanted = sizes.select("__s", F.explode(ranks).alias("r")).filter(F.col("r.rank").isNotNull() & F.col("__s").isNotNull())
+    return sorted_rows.join(wanted, F.col("__rn") == F.col("__s") + F.col("r.rank")).select(*by, "r", F.col("__v").alias("value"))
 
 
 def floor_percentiles(df: DataFrame, value: str, percents: Sequence[float] = PERCENTS, by: Sequence[str] = ()) -> DataFrame:
@@ -114,6 +114,28 @@ def sorted_percentiles(df: DataFrame, value: str, percents: Sequence[float], by:
     return hits.groupBy(*by, F.col("r.p").alias("p")).agg(F.sum(F.col("value") * F.col("r.w")).alias("value"))
 
 
+def percentile_columns(df: DataFrame, metrics: Mapping[str, Column], percents: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """One row a group with a column ``<metric>_p<percent>`` for each metric and percent (0.5 is p50); one sort for all.
+
+    Groups of which no metric has a value are missing.
+    """
+    long = df.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("__m"), c.cast("double").alias("__x")) for m, c in metrics.items()])))
+    found = sorted_percentiles(long, "__x", percents, [*by, "__m"])
+    # p comes from the same literals, so it is compared exactly
+    return found.groupBy(*by).agg(*[F.max(F.when((F.col("__m") == m) & (F.col("p") == float(p)), F.col("value"))).alias(f"{m}_p{round(p * 100)}") for m in metrics for p in percents])
+
+
+def with_percentiles(stats: DataFrame, df: DataFrame, metrics: Mapping[str, Column], percents: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``stats``, a row a group, with the columns of percentile_columns; null where a group has no value."""
+    more = percentile_columns(df, metrics, percents, by)
+    if not by:
+        return stats.crossJoin(more)
+    keys = [f"__k{i}" for i in range(len(by))]
+    more = more.withColumnsRenamed(dict(zip(by, keys)))
+    same = [stats[a].eqNullSafe(more[k]) for a, k in zip(by, keys)]
+    return stats.join(more, same, "left").drop(*keys)
+
+
 def histogram_percentiles(df: DataFrame, bin_column: str, low: float, high: float, bins: int, percents: Sequence[float]) -> DataFrame:
     """Midpoint of the first bin whose running count reaches p * n."""
     width = (high - low) / bins
@@ -148,8 +170,10 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def mean_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Element-wise mean in doubles as rows (key, pos, value)."""
-    return df.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
+    """Element-wise mean in doubles as rows (key, pos, value), in one pass over the vectors; null ones don't count."""
+    rows = df.filter(F.col(vector).isNotNull()).select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("__v"))
+    means = rows.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("__v"))).alias("__m"))
+    return means.select(key, F.posexplode("__m").alias("pos", "value"))
 
 
 def gather_vector(df: DataFrame, key: str, name: str = "centroid") -> DataFrame:
@@ -159,16 +183,13 @@ def gather_vector(df: DataFrame, key: str, name: str = "centroid") -> DataFrame:
 
 
 def cluster_statistics(df: DataFrame, cluster: str, distance: str, outlier: str) -> DataFrame:
-    total = Window.partitionBy(F.lit(0))  # over the clusters, not the rows
+    total = df.agg(F.count("*").alias("__all"))
     per = df.groupBy(cluster).agg(
-        F.count("*").alias("size"),
-        F.avg(distance).alias("mean_dist"),
-        F.percentile(distance, F.lit(0.5)).alias("median_dist"),
-        F.percentile(distance, F.lit(0.95)).alias("p95_dist"),
-        F.max(distance).alias("max_dist"),
-        F.count_if(outlier).alias("outlier_count"),
+        F.count("*").alias("size"), F.avg(distance).alias("mean_dist"), F.max(distance).alias("max_dist"), F.count_if(outlier).alias("outlier_count")
     )
-    return per.withColumn("frac", F.col("size") / F.sum("size").over(total)).withColumn("outlier_frac", F.col("outlier_count") / F.col("size"))
+    per = with_percentiles(per, df, {"d": F.col(distance)}, (0.5, 0.95), [cluster]).withColumnsRenamed({"d_p50": "median_dist", "d_p95": "p95_dist"})
+    shares = per.crossJoin(total).withColumn("frac", F.col("size") / F.col("__all")).withColumn("outlier_frac", F.col("outlier_count") / F.col("size"))
+    return shares.select(cluster, "size", "mean_dist", "median_dist", "p95_dist", "max_dist", "outlier_count", "frac", "outlier_frac")
 
 
 def unpivot(df: DataFrame, label: str, metrics: Sequence[tuple[str, Sequence[Column]]], names: Sequence[str]) -> DataFrame:

@@ -56,16 +56,18 @@ def recent_repeats(df: DataFrame, by: Sequence[str], order: Sequence[Column], va
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "rn") -> DataFrame:
     """Row numbers from 1 over the whole table without one global window.
 
-    Rows are sorted by range into partitions, which are stored so that a lost task cannot
-    cut them otherwise; the sizes of the partitions before give each its offset. The
-    sizes are one small row a partition.
+    Rows are sorted by range into partitions and stored with their place in them, so that
+    a lost task cannot cut them otherwise; the sizes of the partitions before give each its
+    offset. The sizes are one small row a partition, the rows are shuffled once.
     """
-    ordered = fixed(df.orderBy(*order).withColumn("__vm_part", F.spark_partition_id()))
-    local = ordered.withColumn("__vm_i", F.row_number().over(Window.partitionBy("__vm_part").orderBy(*order)))
-    sizes = local.groupBy("__vm_part").agg(F.count("*").alias("__vm_n"))
+    place = F.monotonically_increasing_id()  # the partition, and 33 bits for the place in it
+    ordered = fixed(df.orderBy(*order).withColumn("__vm_id", place))
+    part = F.shiftright("__vm_id", 33)
+    sizes = ordered.groupBy(part.alias("__vm_part")).agg(F.count("*").alias("__vm_n"))
     before = F.coalesce(F.sum("__vm_n").over(Window.partitionBy(F.lit(0)).orderBy("__vm_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__vm_part", before.alias("__vm_o"))
-    return local.join(offsets, "__vm_part").withColumn(name, F.col("__vm_i") + F.col("__vm_o")).drop("__vm_part", "__vm_i", "__vm_o")
+    here = F.col("__vm_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.withColumn("__vm_part", part).join(offsets, "__vm_part").withColumn(name, (here + F.col("__vm_o") + 1).cast("long")).drop("__vm_part", "__vm_id", "__vm_o")
 
 
 def split_ends(df: DataFrame, order: Sequence[Column], cv: int, from_tail: bool = True) -> DataFrame:
@@ -112,24 +114,30 @@ def padded_batches(df: DataFrame, bucket: str, order: Sequence[str], length: str
     """Greedy batches within each bucket by padded size, with column ``batch``.
 
     A row closes the batch where the longest times the rows would pass the budget. The
-    fold is sequential only inside a bucket, so buckets run in parallel and the result
-    does not depend on partitions. A row that passes the budget alone is a batch of one.
+    fold is sequential only inside a bucket, which is a reader's stream or a run of rows of like
+    length; buckets run in parallel and the result does not depend on partitions. Rows come
+    sorted and in batches, so a bucket of any size is folded in little memory. A row that
+    passes the budget alone is a batch of one; no batch is empty.
     """
     schema = T.StructType([*(f for f in df.schema if f.name != "batch"), T.StructField("batch", T.LongType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable", ignore_index=True).drop(columns="batch", errors="ignore")
-        batch, longest, held, out = 0, 0, 0, []
-        for n in pdf[length]:
-            frames = int(n) * frames_per_token
-            if held and max(longest, frames) * (held + 1) > budget:
-                batch, longest, held = batch + 1, 0, 0
-            longest, held = max(longest, frames), held + 1
-            out.append(batch)
-        pdf["batch"] = out
-        return pdf
-
-    return df.groupBy(bucket).applyInPandas(run, schema)
+    plain = df.drop("batch")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = object()
+        batch = longest = held = 0
+        for pdf in batches:
+            out = []
+            for name, n in zip(pdf[bucket], pdf[length]):
+                if name != now and not (pd.isna(name) and now is None):
+                    now, batch, longest, held = None if pd.isna(name) else name, 0, 0, 0
+                frames = 0 if pd.isna(n) else int(n) * frames_per_token
+                if held and max(longest, frames) * (held + 1) > budget:
+                    batch, longest, held = batch + 1, 0, 0
+                longest, held = max(longest, frames), held + 1
+                out.append(batch)
+            yield pdf.assign(batch=out)
+
+    return plain.repartition(bucket).sortWithinPartitions(bucket, *order).mapInPandas(run, schema)
 
 
 def hash_order(key: Column, seed: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import linear_percentiles, real_time_factor, unpivot
+from ..operators.aggregates import real_time_factor, unpivot, with_percentiles
 
 
 def summary(df: DataFrame, by: Sequence[str], status: str, metrics: Sequence[str], done: str, duration: str) -> DataFrame:
@@ -15,10 +15,11 @@ def summary(df: DataFrame, by: Sequence[str], status: str, metrics: Sequence[str
     ok = F.col(status) == "ok"
     columns: list[Column] = [F.count("*").alias("rows"), F.count_if(ok).alias("ok"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("fail")]
     for m in metrics:
-        good = F.when(ok, F.col(m))
-        columns += [F.avg(good).alias(f"{m}_mean"), *linear_percentiles(good, (0.5, 0.95), (f"{m}_p50", f"{m}_p95"))]
+        columns.append(F.avg(F.when(ok, F.col(m))).alias(f"{m}_mean"))
     columns += [F.avg(F.when(ok, F.col(duration))).alias("duration_mean"), real_time_factor(F.when(ok, F.col(done)), F.when(ok, F.col(duration))).alias("rtf")]
-    return df.groupBy(*by).agg(*columns)
+    stats = df.groupBy(*by).agg(*columns)
+    out = with_percentiles(stats, df, {m: F.when(ok, F.col(m)) for m in metrics}, (0.5, 0.95), by)
+    return out.select(*by, "rows", "ok", "fail", *[f"{m}_{n}" for m in metrics for n in ("mean", "p50", "p95")], "duration_mean", "rtf")
 
 
 def paired_summary(left: DataFrame, right: DataFrame, key: str, status: str, metrics: Sequence[str]) -> DataFrame:
@@ -43,7 +44,8 @@ def paired_summary(left: DataFrame, right: DataFrame, key: str, status: str, met
 def request_report(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """One row a metric: mean, population variance (in squared units), p50, p90, p95, p99."""
     names = ("mean", "variance", "p50", "p90", "p95", "p99")
-    one = df.agg(*[c.alias(f"{m}_{n}") for m in metrics for n, c in zip(names, (F.avg(m), F.var_pop(m), *[F.percentile(m, F.lit(p)) for p in (0.5, 0.9, 0.95, 0.99)]))])
+    stats = df.agg(*[c.alias(f"{m}_{n}") for m in metrics for n, c in (("mean", F.avg(m)), ("variance", F.var_pop(m)))])
+    one = with_percentiles(stats, df, {m: F.col(m) for m in metrics}, (0.5, 0.9, 0.95, 0.99))
     return unpivot(one, "metric", [(m, [F.col(f"{m}_{n}") for n in names]) for m in metrics], names)
 
 

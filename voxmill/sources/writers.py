@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import one_line
@@ -60,16 +60,52 @@ def append(df: DataFrame, path: str) -> None:
 def rewrite(df: DataFrame, path: str, keep_backup: bool = True) -> None:
     """Replaces the table at ``path`` by rows that may come from it: written aside, then swapped."""
     spark = df.sparkSession
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.bak"
+    mark = uuid.uuid4().hex
+    new, old, older = f"{path}.new-{mark}", f"{path}.bak", f"{path}.bak-{mark}"
     df.write.parquet(new)
     jvm = spark.sparkContext._jvm
     fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    where = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    if fs.exists(where(old)):
-        fs.delete(where(old), True)
-    if fs.exists(where(path)) and not fs.rename(where(path), where(old)):
+
+    def move(a: str, b: str) -> bool:
+        a, b = jvm.org.apache.hadoop.fs.Path(a), jvm.org.apache.hadoop.fs.Path(b)
+        return not fs.exists(a) or fs.rename(a, b)
+
+    # an older backup goes last, when the new table is in its place
+    if not move(old, older):
+        raise OSError(f"cannot move {old} aside")
+    if not move(path, old):
+        move(older, old)
         raise OSError(f"cannot move {path} aside")
-    if not fs.rename(where(new), where(path)):
+    if not move(new, path):
+        move(old, path)
+        move(older, old)
         raise OSError(f"cannot move the new table to {path}")
-    if not keep_backup:
-        fs.delete(where(old), True)
+    for gone in (older,) if keep_backup else (older, old):
+        fs.delete(jvm.org.apache.hadoop.fs.Path(gone), True)
+
+
+def write_judged(judged: DataFrame, root: str, batch: int, reason: str = "reason") -> None:
+    """One batch of judged pairs: ``pairs`` (JSON lines), ``discarded`` with reasons, ``manifest`` (TSV).
+
+    Each batch has its own folder, which is written anew where the batch is run again.
+    """
+    judged = judged.persist()
+    good = F.col(reason).isNull()
+    folder = lambda name: f"{root}/{name}/batch={batch}"
+    judged.filter(good).drop(reason).write.mode("overwrite").json(folder("pairs"))
+    judged.filter(~good).write.mode("overwrite").json(folder("discarded"))
+    write_tsv(judged.filter(good).drop(reason), folder("manifest"), mode="overwrite")
+    judged.unpersist()
+
+
+def write_counted(df: DataFrame, path: str, progress: str, shard: int) -> None:
+    """Writes a shard's rows and adds (shard, done) to the progress table; the count comes from the same pass."""
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("done")).write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    append(spark.createDataFrame([(shard, seen.get["done"])], "shard int, done long"), progress)
+
+
+def total_progress(spark: SparkSession, progress: str) -> DataFrame:
+    """(shards, done) over all shards, the largest count of each."""
+    return spark.read.parquet(progress).groupBy("shard").agg(F.max("done").alias("d")).agg(F.count("*").alias("shards"), F.coalesce(F.sum("d"), F.lit(0)).alias("done"))

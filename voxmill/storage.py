@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +21,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path below the shared folder; it stays until that is cleared, since lazy results read it."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
 def fixed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored, so that what hangs on its partitions cannot change."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once and stored as a table, so that what hangs on its partitions cannot change."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

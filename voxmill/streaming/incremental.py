@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.joins import pending
+from ..sources.writers import write_judged
 
 
 def resume(source: DataFrame, done: DataFrame | None, key: str, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -26,3 +27,8 @@ def run_incremental(stream: DataFrame, output: str, checkpoint: str, process: Ca
         process(batch).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_judged(stream: DataFrame, root: str, checkpoint: str, reason: str = "reason") -> StreamingQuery:
+    """Judged groups as they come: pairs, discarded groups and a manifest below ``root``, batch by batch."""
+    return stream.writeStream.foreachBatch(lambda batch, number: write_judged(batch, root, number, reason)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
