@@ -307,6 +307,28 @@ def test_an_edit_encodes_little_again():
     assert doc.tokens == len(own.encoding.encode_ordinary(doc.text)) and doc.encoded - before < 12
 
 
+def test_sums_follow_splices():
+    rng = random.Random(7)
+    for _ in range(300):
+        values = [rng.randrange(9) for _ in range(rng.randrange(0, 40))]
+        tree = tc.SegmentTree(tc.np.array(values, tc.np.int64))
+        for _ in range(6):
+            a = rng.randrange(len(values) + 1)
+            b = rng.randrange(a, len(values) + 1)
+            new = [rng.randrange(9) for _ in range(b - a if rng.random() < 0.5 else rng.randrange(12))]
+            values[a:b] = new
+            tree.splice(a, b, tc.np.array(new, tc.np.int64))
+            fresh = tc.SegmentTree(tc.np.array(values, tc.np.int64))
+            assert tree.total == sum(values) and tree.values.tolist() == values
+            if values:
+                assert [x.tolist() for x in tree.levels if len(x)][-1] == [sum(values)] and len(tree.levels) == len(fresh.levels)
+
+
+def test_token_counts_beside_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 9, "x", 3)], "doc_id long, text string, tokens long, edits string, tokens_after long")
+    assert [tuple(r)[:4] for r in tc.count_tokens(docs).collect()] == [(1, 2, 0, 2)]
+
+
 def test_token_counts_of_documents(docs, odd):
     own = tc.counter(tc.VOCABULARY)
     texts = {r.doc_id: r.text for r in docs.filter("doc_id < 200").collect()}

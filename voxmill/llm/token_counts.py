@@ -98,8 +98,17 @@ class SegmentTree:
                 for i in range(lo, hi):
                     level[i] = below[2 * i] + (below[2 * i + 1] if 2 * i + 1 < len(below) else 0)
             return
+        # leaves behind the run move: sums over these are formed anew, those before it stay
         self.values = np.concatenate([self.values[:start], values, self.values[end:]])
-        self._build()
+        old, self.levels, lo = self.levels, [self.values], start
+        while len(self.levels[-1]) > 1:
+            below, k = self.levels[-1], len(self.levels)
+            lo = lo // 2 if k < len(old) else 0
+            tail = below[2 * lo :]
+            if len(tail) % 2:
+                tail = np.append(tail, 0)
+            sums = tail[::2] + tail[1::2]
+            self.levels.append(np.concatenate([old[k][:lo], sums]) if lo else sums)
 
 
 class Document:
@@ -162,7 +171,10 @@ class Document:
         low = int(bounds[first - 1]) if first else 0
         high = int(bounds[last]) if last < len(bounds) else len(self.counts)
         region = np.concatenate([self.counts[low:keep], counts, self.counts[resume:high]])
-        n = max(1, round(len(region) / LEAF)) if len(region) else 0
+        # as many leaves as before, so that sums change on their paths only, unless they got too large or small
+        n = min(last + 1, len(self.sizes)) - first
+        if not n * LEAF // 4 <= len(region) <= n * LEAF * 4 or len(region) < n or not n:
+            n = max(1, round(len(region) / LEAF)) if len(region) else 0
         cuts = np.linspace(0, len(region), n + 1).astype(np.int64)
         sizes = np.diff(cuts)
         sums = np.add.reduceat(region, cuts[:-1]) if n else np.zeros(0, np.int64)
