@@ -102,6 +102,16 @@ def test_paragraphs_match_brute_force():
         assert text.paragraph_pieces(line, "zh", most, least, merge) == want
 
 
+def test_word_errors_match_the_fold():
+    """The table and the row-by-row fold choose the same alignment."""
+    rng = random.Random(8)
+    for _ in range(500):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(0, 14))] for _ in range(2))
+        got = text.word_errors(a, b)
+        assert got == text._folded_errors(a, b)
+        assert got[0] + got[2] + got[3] == len(a) and got[0] + got[1] + got[3] == len(b)
+
+
 # -- hops and losses ----------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..operators import aggregates, filters, windows
-from ..plans import latency, preference
+from ..plans import latency, preference, sweep
 from .registry import Tables, query
 
 
@@ -208,3 +208,40 @@ def date_01_format(t: Tables) -> DataFrame:
 @query(f"WITH {LATENCY_SQL} SELECT user_id, round(avg(done) / nullif(avg(duration), 0), 6) AS ratio FROM l GROUP BY user_id")
 def math_ratio_guard(t: Tables) -> DataFrame:
     return _latency(t).groupBy("user_id").agg(F.round(scores.ratio(F.avg("done"), F.avg("duration")), 6).alias("ratio"))
+
+
+@query(
+    """WITH m AS (SELECT lang AS test_set, doc_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60) AS ref FROM documents WHERE n_chars > 20 AND doc_id % 3 = 0),
+    o AS (SELECT e.epoch, m.test_set, m.doc_id, reverse(substr(reverse(m.ref), 1, 60 - e.epoch)) AS hyp FROM m, (SELECT unnest([2, 5, 9]) AS epoch) e
+          WHERE (e.epoch <> 5 OR m.doc_id % 2 = 0) AND (e.epoch <> 9 OR m.test_set <> 'fr')),
+    t AS (SELECT test_set, count(*) AS meta_total FROM m GROUP BY 1), r AS (SELECT DISTINCT epoch FROM o),
+    p AS (SELECT o.epoch, o.test_set, count(*) AS paired, sum(levenshtein(ref, hyp)) AS e, sum(length(ref)) AS n FROM o JOIN m USING (test_set, doc_id) GROUP BY ALL)
+    SELECT epoch, test_set, meta_total, coalesce(paired, 0) AS paired, coalesce(printf('%.2f', 100.0 * e / n), 'NA') AS cer_pct,
+           CASE WHEN coalesce(paired, 0) = 0 THEN 'missing' WHEN paired < meta_total THEN 'partial' ELSE 'ok' END AS status
+    FROM r CROSS JOIN t LEFT JOIN p USING (epoch, test_set)"""
+)
+def ops_02_sweep_summary(t: Tables) -> DataFrame:
+    """Epochs that lose the first characters of each text; one lacks half of the outputs, one a test set."""
+    meta = t.documents.filter("n_chars > 20 and doc_id % 3 = 0").select(F.col("lang").alias("test_set"), "doc_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60).alias("ref"))
+    epochs = meta.select("*", F.explode(F.array(*[F.lit(e) for e in (2, 5, 9)])).alias("epoch"))
+    there = ((F.col("epoch") != 5) | (F.col("doc_id") % 2 == 0)) & ((F.col("epoch") != 9) | (F.col("test_set") != "fr"))
+    # the last 60 - epoch characters
+    hyp = F.reverse(F.substring(F.reverse("ref"), F.lit(1), F.lit(60) - F.col("epoch")))
+    outputs = epochs.filter(there).select("epoch", "test_set", "doc_id", hyp.alias("hyp"))
+    return sweep.summary(meta, outputs, "doc_id", "ref", "hyp", ["epoch"], "test_set")
+
+
+@query(
+    """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS b FROM events GROUP BY event_type)
+    SELECT event_type, round(a, 6) AS q1, round(m, 6) AS median, round(b, 6) AS q3, min(value) FILTER (value BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)) AS low,
+           max(value) FILTER (value BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)) AS high, count(*) FILTER (NOT value BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)) AS beyond
+    FROM events JOIN q USING (event_type) GROUP BY event_type, a, m, b"""
+)
+def snk_13_box_plot_data(t: Tables) -> DataFrame:
+    box = aggregates.box_statistics(t.events, "value", ["event_type"])
+    return box.select("event_type", F.round("q_p25", 6).alias("q1"), F.round("q_p50", 6).alias("median"), F.round("q_p75", 6).alias("q3"), "low", "high", "beyond")
+
+
+@query("SELECT floor(l_quantity / 5)::BIGINT AS x_bin, floor(l_extendedprice / 10000)::BIGINT AS y_bin, count(*) AS n FROM lineitem GROUP BY ALL")
+def snk_13_heat_map_data(t: Tables) -> DataFrame:
+    return aggregates.heatmap_counts(t.lineitem, F.col("l_quantity"), F.col("l_extendedprice"), 5, 10_000)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -274,8 +275,42 @@ def normalize(c: Column | str, read_numbers: bool = False) -> Column:
     return F.when(tagged | (core == ""), F.array(F.concat(tag, core))).when(tagless, pieces).otherwise(led)
 
 
+#: Cells of a cost table that is held at once; longer pairs are folded row by row, with the same result.
+_CELLS = 1 << 24
+
+
 def word_errors(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
-    """(substitutions, insertions, deletions, correct) of a least-cost alignment."""
+    """(substitutions, insertions, deletions, correct) of a least-cost alignment.
+
+    Of several, the one that takes a pair before a deletion, and that before an insertion, going back from the end.
+    """
+    if len(ref) * len(hyp) > _CELLS:
+        return _folded_errors(ref, hyp)
+    number = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
+    a, b = (np.fromiter((number[w] for w in x), np.int64, len(x)) for x in (ref, hyp))
+    steps = np.arange(len(b) + 1, dtype=np.int32)
+    cost = np.empty((len(a) + 1, len(b) + 1), np.int32)
+    cost[0] = steps
+    for i in range(1, len(a) + 1):
+        row = cost[i - 1] + 1
+        np.minimum(row[1:], cost[i - 1, :-1] + (b != a[i - 1]), out=row[1:])
+        # insertions: the least of all cells to the left, one more a step
+        cost[i] = np.minimum.accumulate(row - steps) + steps
+    subs = ins = dels = hits = 0
+    i, j = len(a), len(b)
+    while i and j:
+        other = a[i - 1] != b[j - 1]
+        if cost[i, j] == cost[i - 1, j - 1] + other:
+            subs, hits, i, j = subs + int(other), hits + int(not other), i - 1, j - 1
+        elif cost[i, j] == cost[i - 1, j] + 1:
+            dels, i = dels + 1, i - 1
+        else:
+            ins, j = ins + 1, j - 1
+    return subs, ins + j, dels + i, hits
+
+
+def _folded_errors(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
+    """The same with one row of counts in memory."""
     row = [(j, 0, j, 0, 0) for j in range(len(hyp) + 1)]
     for i, r in enumerate(ref, 1):
         above, row = row, [(i, 0, 0, i, 0)]

@@ -192,6 +192,27 @@ def cluster_statistics(df: DataFrame, cluster: str, distance: str, outlier: str)
     return shares.select(cluster, "size", "mean_dist", "median_dist", "p95_dist", "max_dist", "outlier_count", "frac", "outlier_frac")
 
 
+def box_statistics(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Data of a box plot a group: quartiles, whiskers within 1.5 times their distance, and how many values lie beyond."""
+    box = percentile_columns(df, {"q": F.col(value)}, (0.25, 0.5, 0.75), by)
+    reach = F.lit(1.5) * (F.col("q_p75") - F.col("q_p25"))
+    box = box.withColumns({"__lo": F.col("q_p25") - reach, "__hi": F.col("q_p75") + reach})
+    keys = [f"__k{i}" for i in range(len(by))]
+    box = box.withColumnsRenamed(dict(zip(by, keys)))
+    rows = df.select(*by, F.col(value).cast("double").alias("__x")).filter("__x is not null")
+    rows = rows.join(box, [rows[a].eqNullSafe(box[k]) for a, k in zip(by, keys)]) if by else rows.crossJoin(box)
+    inside = F.col("__x").between(F.col("__lo"), F.col("__hi"))
+    return rows.groupBy(*by, "q_p25", "q_p50", "q_p75").agg(
+        F.min(F.when(inside, F.col("__x"))).alias("low"), F.max(F.when(inside, F.col("__x"))).alias("high"), F.count_if(~inside).alias("beyond")
+    )
+
+
+def heatmap_counts(df: DataFrame, x: Column, y: Column, width: float, height: float) -> DataFrame:
+    """Data of a heat map: (x_bin, y_bin, n) of the cells that have a row; rows without a number in both are left out."""
+    cells = df.select(F.floor(x / width).alias("x_bin"), F.floor(y / height).alias("y_bin"))
+    return cells.filter("x_bin is not null and y_bin is not null").groupBy("x_bin", "y_bin").agg(F.count("*").alias("n"))
+
+
 def unpivot(df: DataFrame, label: str, metrics: Sequence[tuple[str, Sequence[Column]]], names: Sequence[str]) -> DataFrame:
     """A one-row frame of aggregates as one row a metric."""
     return df.select(F.inline(F.array(*[F.struct(F.lit(m).alias(label), *[c.alias(n) for c, n in zip(cols, names)]) for m, cols in metrics])))
