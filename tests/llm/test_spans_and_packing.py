@@ -179,7 +179,7 @@ def test_very_long_texts_have_few_super_kmers(spark):
     assert (2, 500, 200_000, 2, 0) in found
 
 
-# -- packing ----------------------------------------------------------------------------------------
+# -- packing
 
 
 def _optimum(sizes, capacity):
@@ -284,7 +284,7 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
-# -- pipeline -----------------------------------------------------------------------------------------
+# -- pipeline
 
 
 def test_pipeline_stages_against_brute_force(spark, tmp_path):

@@ -31,7 +31,7 @@ def odd(spark):
     return spark.createDataFrame([(a, b, None if a == 2 else "en", "x", 1.5) for a, b in rows], "doc_id long, text string, lang string, words string, coverage double")
 
 
-# -- words --------------------------------------------------------------------------------
+# -- words
 
 
 def test_words_are_cut_as_documented():
@@ -61,7 +61,7 @@ def test_long_texts_hash_like_short_ones():
     assert (tv.window_hash(long, 50)[-100:] == tv.window_hash(long[-149:], 50)).all()
 
 
-# -- language -------------------------------------------------------------------------------
+# -- language
 
 
 def test_language_accuracy_held_out(docs):
@@ -106,7 +106,7 @@ def test_training_sample_is_bounded(docs):
     assert len(sample) == 80 and sample == li.training_sample(docs, 20)
 
 
-# -- HTML -------------------------------------------------------------------------------------
+# -- HTML
 
 GOOD = "This is the text of an article that goes on for a while and has all of the words that it should have in it, as they are in the language. " * 2
 
@@ -285,7 +285,7 @@ def test_html_of_odd_pages(spark):
     assert hx.extract_text(pages.limit(0)).count() == 0
 
 
-# -- token counts -------------------------------------------------------------------------------
+# -- token counts
 
 
 @given(st.text(alphabet="ab '’sltrevdm\n\t 12é漢.,<", max_size=150), st.lists(st.tuples(st.integers(0, 160), st.integers(0, 60), st.text(alphabet="ab '\n 1é.", max_size=90)), max_size=6))
@@ -343,7 +343,7 @@ def test_token_counts_of_documents(docs, odd):
     assert tc.count_tokens(odd.limit(0)).count() == 0
 
 
-# -- licenses --------------------------------------------------------------------------------------
+# -- licenses
 
 
 def test_alignment_rises_and_agrees():
@@ -391,7 +391,7 @@ def test_license_scan(spark, docs, odd):
     assert lic.scan_licenses(odd).count() == lic.scan_licenses(odd.limit(0)).count() == 0
 
 
-# -- decontamination ------------------------------------------------------------------------------
+# -- decontamination
 
 
 @given(st.lists(st.lists(st.integers(0, 3), max_size=10), max_size=4), st.lists(st.integers(0, 4), max_size=25))

@@ -33,7 +33,7 @@ def brute_runs(words, item):
     return [(s, n) for s, n in out if whole or n >= dc.LIMIT]
 
 
-# -- licenses ------------------------------------------------------------------------------
+# -- licenses
 
 
 def test_license_query_finds_all_five_kinds_of_line(spark):
@@ -128,7 +128,7 @@ def test_templates_of_a_folder(tmp_path):
     assert [(row, name, start, end) for row, name, _, start, end in found] == [(0, "A-2.0", 1, 7), (0, "B", 8, 14)]
 
 
-# -- decontamination -----------------------------------------------------------------------
+# -- decontamination
 
 
 def test_cleaned_texts_do_not_depend_on_the_shards(spark):
@@ -210,7 +210,7 @@ def test_every_text_of_an_item_is_looked_for(spark):
     assert [tuple(r) for r in dc.contaminated_spans(docs, again).collect()] == [(1, 7, 1, 13)]
 
 
-# -- language ------------------------------------------------------------------------------
+# -- language
 
 
 def test_a_small_share_of_a_long_document_is_found(spark):
