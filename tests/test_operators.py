@@ -17,7 +17,7 @@ from voxmill.functions import resources, scores, text
 from voxmill.operators import aggregates, vectors, windows
 from voxmill.sources import binary, readers, writers
 
-# -- text --------------------------------------------------------------------------------------
+# -- text
 
 
 def test_emphasis_matches_brute_force(spark):
@@ -112,7 +112,7 @@ def test_word_errors_match_the_fold():
         assert got[0] + got[2] + got[3] == len(a) and got[0] + got[1] + got[3] == len(b)
 
 
-# -- hops and losses ----------------------------------------------------------------------------
+# -- hops and losses
 
 
 def _hops(n, hop, lookahead, rate):
@@ -152,7 +152,7 @@ def test_divergence_of_odd_scores(spark):
     assert same == pytest.approx(0) and bad == 0 and apart > 4
 
 
-# -- pools ----------------------------------------------------------------------------------------------
+# -- pools
 
 
 def test_retries_wait_and_give_up():
@@ -187,7 +187,7 @@ def test_pool_is_bounded(spark):
     assert resources.pooled(spark.range(0), build, T.LongType()).count() == 0
 
 
-# -- folds and percentiles ---------------------------------------------------------------------------------
+# -- folds and percentiles
 
 
 def test_batches_fold_over_any_number_of_arrow_batches(spark):
@@ -238,7 +238,7 @@ def test_clusters_of_nothing(spark):
     assert {(r.k, r.pos, r.value) for r in aggregates.mean_vector(df.withColumn("k", F.lit(1)), "k", "v").collect()} == {(1, 0, 1.5), (1, 1, 3.5)}
 
 
-# -- files ------------------------------------------------------------------------------------------------
+# -- files
 
 
 def test_lines_of_a_split_file_are_numbered(spark, tmp_path):

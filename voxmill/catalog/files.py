@@ -31,7 +31,7 @@ def _part(spark: SparkSession, folder: str) -> str:
     return readers.files(spark, folder, "part-*").first()["path"]
 
 
-# -- sources ------------------------------------------------------------------------------------
+# -- sources
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 < 2")
@@ -192,7 +192,7 @@ def src_lines_are_numbered(t: Tables) -> DataFrame:
     return readers.lines(t.spark, root).select(F.col("value").cast("long").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"))
 
 
-# -- sinks -----------------------------------------------------------------------------------------
+# -- sinks
 
 
 @query("SELECT doc_id, text, row_number() OVER (ORDER BY lang, doc_id) AS place FROM documents WHERE doc_id % 5 = 0")
@@ -309,7 +309,7 @@ def snk_11_progress(t: Tables) -> DataFrame:
     return writers.total_progress(t.spark, f"{root}/progress").withColumn("shards", F.col("shards").cast("int"))
 
 
-# -- resources --------------------------------------------------------------------------------------
+# -- resources
 
 
 @query("SELECT doc_id, len(string_split(text, ' ')) AS tokens, coalesce(list_sum(list_transform(string_split(text, ' '), lambda x: len(x))), 0)::BIGINT AS ids FROM documents")
@@ -372,7 +372,7 @@ def ml_05_cached_embeddings(t: Tables) -> DataFrame:
     return out.select("vec_id", F.get("emb", F.lit(0)).alias("first"), F.lit(2).alias("passes"))
 
 
-# -- losses and hops ------------------------------------------------------------------------------------
+# -- losses and hops
 
 
 @query(
@@ -405,7 +405,7 @@ def str_06_exponential_hops(t: Tables) -> DataFrame:
     return rows.withColumn("chunk", F.col("chunk").cast("long"))
 
 
-# -- streams of a reader ------------------------------------------------------------------------------------
+# -- streams of a reader
 
 
 @query("SELECT doc_id, n_chars FROM documents")

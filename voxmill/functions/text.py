@@ -97,7 +97,7 @@ def dialogue_turns(c: Column | str, roles: Sequence[str]) -> Column:
     return F.filter(turns, lambda t: (t["role"] != "") & (t["text"] != ""))
 
 
-# -- folds, run as Arrow UDFs ------------------------------------------------------------
+# -- folds, run as Arrow UDFs
 
 Tokenizer = Callable[[str], Sequence]
 
