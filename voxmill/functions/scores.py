@@ -16,6 +16,15 @@ def number(c: Column | str) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
 
 
+def scaled_round(c: Column | str, places: int) -> Column:
+    """A double rounded as DuckDB does: its multiple by 10^places to the nearest whole, halves away from zero.
+
+    Spark's ``round`` goes by the decimals of the double instead, which differs where the multiple is not exact.
+    """
+    scaled = col(c) * F.lit(10.0**places)
+    return F.when(F.abs(scaled) == float("inf"), col(c)).otherwise(F.round(scaled, 0) / F.lit(10.0**places))
+
+
 def clip(c: Column | str, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), col(c)))
 
