@@ -24,7 +24,9 @@ def strf_02_09_customer_service_numbers(t: Tables) -> DataFrame:
         F.concat(F.lit("手机尾号 "), key), F.concat(F.lit("验证码是 "), key), F.concat(key, F.lit("M的带宽")), F.concat(F.lit("请按 "), F.substring(key, 1, 1), F.lit(" 号键")),
         F.concat(F.lit("订单号 "), key, key), F.concat(F.lit("拨打 10086 或 400-123-"), key), F.concat(F.lit("分机 "), key),
     )
-    return t.customer.select("c_custkey", F.posexplode(made).alias("rule", "sentence")).select("c_custkey", "rule", "sentence", digits.read_customer_service_numbers("sentence").alias("reading"))
+    # keys are few bytes a row, so a file of millions is one task unless they are spread
+    rows = t.customer.select("c_custkey").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return rows.select("c_custkey", F.posexplode(made).alias("rule", "sentence")).select("c_custkey", "rule", "sentence", digits.read_customer_service_numbers("sentence").alias("reading"))
 
 
 @query("SELECT doc_id, regexp_matches(text || CASE WHEN doc_id % 2 = 0 THEN '中' ELSE '' END, '[\\x{4e00}-\\x{9fff}]') AS chinese FROM documents")
